@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, sharding, token_counts
+from . import bpe, html_extract, quality_rules, sharding, token_counts, warc
 
 #: Where the tokenizer's ranks are; a parameter of every operator that encodes.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -38,8 +38,29 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op6_quality_rules, op7_byte_shards)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op6_quality_rules, op7_byte_shards, op9_html_text, op10_warc)}
+
+
+#: 1000 is the least payload that may be a revisit.
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, strlen(coalesce(html, '')) AS n FROM pages),
+d AS (SELECT page_id, n, sha1(b) AS h FROM p),
+g AS (SELECT page_id, n, h, max(page_id) OVER (PARTITION BY h, n) AS last FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+FROM g"""
+
 
 
 def _op6_sql() -> str:
@@ -116,4 +137,4 @@ FROM s"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _op6_sql(), "op7_byte_shards": OP7_SQL}
+    return {"op6_quality_rules": _op6_sql(), "op7_byte_shards": OP7_SQL, "op10_warc": OP10_SQL}
