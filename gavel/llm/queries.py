@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, quality_rules, sharding, token_counts, warc
+from . import bpe, html_extract, near_dedup, quality_rules, sharding, substring_dedup, token_counts, warc
 
 #: Where the tokenizer's ranks are; a parameter of every operator that encodes.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(_table(spark, sf_dir, "documents"), ranks_path()))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge_keys(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -38,6 +42,10 @@ def op7_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -47,9 +55,38 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op6_quality_rules, op7_byte_shards, op9_html_text, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_near_duplicates, op6_quality_rules, op7_byte_shards, op8_substring_dedup, op9_html_text, op10_warc)}
 
 
+OP4_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+g AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+e AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+c AS (
+  WITH RECURSIVE r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)
+  SELECT id, min(c) AS c FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept
+FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+OP8_SQL = """
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS m FROM p) WHERE m < doc_id),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM f),
+k AS (SELECT w.doc_id, w.w, unnest(range(1, len(w.w) + 1)) AS j FROM w),
+t AS (
+  SELECT k.doc_id, count(*) FILTER (x.j IS NOT NULL) AS gone, string_agg(k.w[k.j], ' ' ORDER BY k.j) FILTER (x.j IS NULL) AS kept
+  FROM k LEFT JOIN x ON x.doc_id = k.doc_id AND x.j = k.j GROUP BY k.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id)"""
+
 #: 1000 is the least payload that may be a revisit.
 OP10_SQL = """
 WITH p AS (
@@ -137,4 +174,4 @@ FROM s"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _op6_sql(), "op7_byte_shards": OP7_SQL, "op10_warc": OP10_SQL}
+    return {"op4_near_duplicates": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op6_quality_rules": _op6_sql(), "op7_byte_shards": OP7_SQL, "op10_warc": OP10_SQL}
