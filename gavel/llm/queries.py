@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, near_dedup, quality_rules, sharding, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, html_extract, near_dedup, quality_rules, sharding, substring_dedup, token_counts, warc
 
 #: Where the tokenizer's ranks are; a parameter of every operator that encodes.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -33,6 +33,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judge_keys(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -55,7 +59,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_near_duplicates, op6_quality_rules, op7_byte_shards, op8_substring_dedup, op9_html_text, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_near_duplicates, op5_decontamination, op6_quality_rules, op7_byte_shards, op8_substring_dedup, op9_html_text, op10_warc)}
 
 
 OP4_SQL = """
