@@ -42,8 +42,8 @@ LEAST_COSINE = 0.3
 #: Shares of an item's words in common order: enough alone, enough with the answer, and of the answer's own.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 ANSWER_SHARE, ANSWER_WORDS = 0.2, 3
-#: Items' own passages weigh so much in the decomposition.
-ITEM_WEIGHT = 3.0
+#: In the decomposition the items' rows together weigh so many times as much as all passages of documents.
+ITEM_WEIGHT = 10.0
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
@@ -121,6 +121,7 @@ class Block:
                 self.classes.append((size, own))
             size = int(size * 1.5)
         self.vectors = self.latent = None
+        self.item_weight = np.sqrt(ITEM_WEIGHT * max(1, n_passages) / max(1, len(self.words)))
 
     def term_of(self, h: np.ndarray) -> np.ndarray:
         """The number of each word among the terms, or -1."""
@@ -184,7 +185,7 @@ class Block:
         y = np.zeros((m, width))
         for row in partial.groupBy("term").applyInArrow(add, "term long, sums binary").toLocalIterator():  # a row for each term of the block
             y[row[0]] = np.frombuffer(row[1], dtype=np.float64)
-        own = self.rows() * ITEM_WEIGHT / np.maximum(1e-9, np.linalg.norm(self.rows(), axis=1, keepdims=True))
+        own = self.rows() * self.item_weight / np.maximum(1e-9, np.linalg.norm(self.rows(), axis=1, keepdims=True))
         y += own.T @ (own @ omega)
         c = omega.T.astype(np.float64) @ y
         c = (c + c.T) / 2
