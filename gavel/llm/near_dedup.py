@@ -235,7 +235,9 @@ def _labels(reps: DataFrame, texts: DataFrame) -> DataFrame | None:
         held = _with_components(members, labels)
         order = F.col("id") if r == 0 else F.xxhash64("id", F.lit(r))
         hubs = held.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key", "hub")
-        pairs = held.join(hubs, "key").filter("comp <> hub.comp").select(F.greatest("id", "hub.id").alias("a"), F.least("id", "hub.id").alias("b")).distinct()
+        # one hub a round for each member, so the pairs are no more than the members
+        near = held.join(hubs, "key").filter("comp <> hub.comp").groupBy("id").agg(F.min_by("hub.id", F.col("hub.id") if r == 0 else F.xxhash64("hub.id", F.lit(r))).alias("hub"))
+        pairs = near.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         asked, found = add(pairs)
         if not asked:
             return labels
