@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, near_dedup, quality_rules, sharding, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, html_extract, near_dedup, quality_fm, quality_rules, sharding, substring_dedup, token_counts, warc
 
 #: Where the tokenizer's ranks are; a parameter of every operator that encodes.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,11 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(_table(spark, sf_dir, "documents"), ranks_path())
 
 
+def op2_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_fm.score(docs, quality_fm.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.context_limits(token_counts.length_histogram(_table(spark, sf_dir, "documents"), ranks_path()))
 
@@ -59,7 +64,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_near_duplicates, op5_decontamination, op6_quality_rules, op7_byte_shards, op8_substring_dedup, op9_html_text, op10_warc)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_fm, op3_token_counts, op4_near_duplicates, op5_decontamination, op6_quality_rules, op7_byte_shards, op8_substring_dedup, op9_html_text, op10_warc)}
 
 
 OP4_SQL = """
