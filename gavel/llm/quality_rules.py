@@ -103,11 +103,15 @@ def verdict(measured: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """df with the base counts, base_failed, class_distance, word_distance and kept. The references take a scan of their own, of narrower columns."""
-    return verdict(measure(df, text, lang), references(measure(df, text, lang)))
+    """df with the base counts, base_failed, class_distance, word_distance and kept.
+
+    The measured rows are written down: one scan serves references and verdicts, and a filter on kept is not pushed into the measures, where it would repeat them.
+    """
+    measured = cut(measure(df, text, lang))
+    return verdict(measured, references(measured))
 
 
 def judge_keys(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The same for each row's key alone, in one scan: the measures are narrow and are written down before the references are fitted."""
+    """The same for each row's key alone; what is written down is narrow."""
     narrow = cut(measure(df.select(key, text, lang), text, lang).drop(text, lang))
     return verdict(narrow, references(narrow))

@@ -233,20 +233,21 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     rows, starts, _ = repeats(df, key, text)
     change = rows.filter("whole AND id IS NOT NULL").select("id").distinct().withColumn("_whole", F.lit(True)).join(starts, "id", "full").withColumnsRenamed({"id": "_id", "starts": "_starts"})
     joined = df.join(change, F.col(key).cast("long") == F.col("_id"), "left").drop("_id")
-    place = df.columns.index(text)
+    names = df.columns
+    place = names.index(text)
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            whole, at = batch.column(len(df.columns)).to_pylist(), batch.column(len(df.columns) + 1)
+            whole, at = batch.column(len(names)).to_pylist(), batch.column(len(names) + 1)
             for i, t in enumerate(texts):
                 if whole[i]:
                     texts[i] = ""
                 elif at[i].is_valid:
                     texts[i] = b" ".join(keep_words((t or "").encode(), at[i].values.to_numpy())).decode()
-            columns = [pa.array(texts, batch.schema.field(j).type) if j == place else batch.column(j) for j in range(len(df.columns))]
-            yield pa.RecordBatch.from_arrays(columns, names=df.columns)
+            columns = [pa.array(texts, batch.schema.field(j).type) if j == place else batch.column(j) for j in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*df.columns, "_whole", "_starts").mapInArrow(run, df.schema)
+    return joined.select(*names, "_whole", "_starts").mapInArrow(run, df.schema)
