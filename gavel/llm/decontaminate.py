@@ -38,7 +38,11 @@ PASSAGE = 32
 RANK = 256
 OVERSAMPLING = 8
 MIN_WORDS = 8
-LEAST_COSINE = 0.3
+LEAST_COSINE = 0.35
+#: Terms below this inverse document frequency (in more than one of 250 passages) are stop words, unless they are among an item's RAREST.
+LEAST_IDF, RAREST = 5.5, 8
+#: A window with fewer words from the benchmark's terms is no candidate: an item has RAREST terms or more if it has so many words at all, and LCS_WITH_ANSWER of its words must be there.
+LEAST_TERMS = 3
 #: Shares of an item's words in common order: enough alone, enough with the answer, and of the answer's own.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 ANSWER_SHARE, ANSWER_WORDS = 0.2, 3
@@ -76,7 +80,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             for a, b in groups(texts):
                 _, _, h, first = words_of(texts[a:b], lower=True)
                 passage = _passages(first)
-                counts[:-1] += np.bincount(np.unique(passage * BUCKETS + bucket(h)) % BUCKETS, minlength=BUCKETS)
+                counts[:-1] += np.bincount(_distinct(passage * BUCKETS + bucket(h)) % BUCKETS, minlength=BUCKETS)
                 counts[-1] += passage[-1] + 1 if len(passage) else 0
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "n"])
@@ -87,6 +91,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """np.unique, on narrow integers where they do."""
+    if len(x) and x[-1] + BUCKETS < 2**31:  # passages are in order, so the last is the largest
+        x = x.astype(np.int32)
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _passages(first: np.ndarray) -> np.ndarray:
     """The passage of each word, numbered through."""
     n = np.diff(first)
@@ -105,8 +117,14 @@ class Block:
             if len(h) >= MIN_WORDS:
                 self.ids.append(i)
                 self.words.append(h)
-        every = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, dtype=np.uint64)
+        own = [np.unique(w) for w in self.words]
+        own = [w[np.argsort(-self.idf[bucket(w)], kind="stable")] for w in own]
+        every = np.unique(np.concatenate([w[(self.idf[bucket(w)] >= LEAST_IDF) | (np.arange(len(w)) < RAREST)] for w in own])) if own else np.zeros(0, dtype=np.uint64)
         self.terms = every[self.idf[bucket(every)] > 0]
+        # what a word adds to a window's length: nothing for stop words
+        self.square = np.where(self.idf >= LEAST_IDF, self.idf.astype(np.float64) ** 2, 0)
+        self.square[bucket(self.terms)] = self.idf[bucket(self.terms)].astype(np.float64) ** 2
+        self.sets = [w.tolist() for w in self.words]
         self.weights = self.idf[bucket(self.terms)]
         # hash table of terms by their low bits, chained by slot order
         self.slots = 1 << max(12, int(4 * max(1, len(self.terms))).bit_length())
@@ -115,11 +133,11 @@ class Block:
         self.table[slot[::-1]] = np.arange(len(self.terms), dtype=np.int32)[::-1]
         self.clash = bool(len(np.unique(slot)) < len(self.terms))
         sizes = [len(w) for w in self.words]
-        self.classes, size = [], MIN_WORDS
-        while sizes and size < max(sizes) * 1.5:
-            if own := [j for j, n in enumerate(sizes) if size / 1.5 < n <= size]:
+        self.classes, size, low = [], MIN_WORDS, 0
+        while sizes and low < max(sizes):
+            if own := [j for j, n in enumerate(sizes) if low < n <= size]:
                 self.classes.append((size, own))
-            size = int(size * 1.5)
+            low, size = size, -(-size * 3 // 8) * 4  # a multiple of four
         self.vectors = self.latent = None
         self.item_weight = np.sqrt(ITEM_WEIGHT * max(1, n_passages) / max(1, len(self.words)))
 
@@ -196,49 +214,54 @@ class Block:
         rows = self.rows()
         self.latent = ((rows @ u[:, :RANK]) / np.maximum(1e-9, np.linalg.norm(rows, axis=1, keepdims=True))).astype(np.float32)
 
-    def search(self, h: np.ndarray) -> list[tuple[int, float, float, float, int]]:
-        """For the words of a text: (item, cosine, share of its words in common order, share of the answer's, first word of the window)."""
+    def search(self, h: np.ndarray, first: np.ndarray) -> list[list[tuple[int, float, float, float, int]]]:
+        """For each of several texts, their words one after the other: (item, cosine, share of its words in common order, share of the answer's, first word of the window)."""
+        n_docs = len(first) - 1
+        out: list[dict[int, tuple]] = [{} for _ in range(n_docs)]
         t = self.term_of(h)
         active = np.flatnonzero(t >= 0)
         if not len(active):
-            return []
-        idf = self.idf[bucket(h)]
-        energy = np.concatenate([[0], np.cumsum(idf.astype(np.float64) ** 2)])
-        mine = np.where(t >= 0, idf, 0).astype(np.float64) ** 2
-        own = np.concatenate([[0], np.cumsum(mine)])
-        best: dict[int, tuple] = {}
+            return [[] for _ in out]
+        square = self.square[bucket(h)]
+        energy = np.concatenate([[0], np.cumsum(square)])
+        own = np.concatenate([[0], np.cumsum(np.where(t >= 0, square, 0))])
+        count = np.concatenate([[0], np.cumsum(t >= 0)])
+        sizes = np.diff(first)
         for size, items in self.classes:
-            step = max(1, size // 4)
-            starts = np.arange(0, max(1, len(h) - size + step), step)
-            ends = np.minimum(starts + size, len(h))
-            whole = energy[ends] - energy[starts]
-            keep = (own[ends] - own[starts] >= LEAST_COSINE**2 * whole) & (whole > 0)
-            starts, ends, whole = starts[keep], ends[keep], whole[keep]
-            if not len(starts):
-                continue
-            a, b = np.searchsorted(active, starts), np.searchsorted(active, ends)
-            for k in range(0, len(starts), 2048):
-                lo, hi = a[k : k + 2048], b[k : k + 2048]
-                span = slice(lo.min(), hi.max())
-                sums = np.zeros((span.stop - span.start + 1, self.vectors.shape[1]), dtype=np.float32)
-                np.cumsum(self.vectors[t[active[span]]], axis=0, out=sums[1:])
-                z = sums[hi - span.start] - sums[lo - span.start]
-                cosine = z @ self.latent[items].T / np.sqrt(whole[k : k + 2048])[:, None]
+            step = size // 4
+            per = np.where(sizes > 0, np.maximum(0, -(-(sizes - size) // step)) + 1, 0)
+            doc = np.repeat(np.arange(n_docs), per)
+            offset = np.cumsum(per) - per + 3 * np.arange(n_docs)  # of a text's steps, three more than its windows
+            starts = first[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
+            ends = np.minimum(starts + size, first[doc + 1])
+            keep = np.flatnonzero((count[ends] - count[starts] >= LEAST_TERMS) & (own[ends] - own[starts] >= LEAST_COSINE**2 * (energy[ends] - energy[starts])))
+            latent = self.latent[items].T
+            for k in range(0, len(keep), 2048):
+                pick = keep[k : k + 2048]
+                s, e, d = starts[pick], ends[pick], doc[pick]
+                # a window is four steps: each step's sum is made once
+                blocks, where = np.unique((pick + 3 * d)[:, None] + np.arange(4), return_inverse=True)
+                block_doc = np.repeat(d, 4)[np.unique(where.ravel(), return_index=True)[1]]
+                begin = np.minimum(first[block_doc] + step * (blocks - offset[block_doc]), first[block_doc + 1])
+                lo, hi = count[begin], count[np.minimum(begin + step, first[block_doc + 1])]
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+                sums = np.zeros((len(blocks), self.vectors.shape[1]), dtype=np.float32)
+                sums[n > 0] = np.add.reduceat(self.vectors[t[active[at]]], (np.cumsum(n) - n)[n > 0], axis=0)
+                z = sums[where.reshape(-1, 4)].sum(axis=1)
+                cosine = z @ latent / np.sqrt(energy[e] - energy[s])[:, None]
                 for i, j in zip(*np.nonzero(cosine >= LEAST_COSINE), strict=True):
-                    item, c = items[j], float(cosine[i, j])
-                    s, e = int(starts[k + i]), int(ends[k + i])
-                    found = self.confirm(item, h, max(0, s - size // 2), min(len(h), e + size // 2))
-                    if found and (*found, c) > best.get(item, ())[:3]:
-                        best[item] = (*found, c, s)
-        return [(self.ids[item], c, share, answer, s) for item, (share, answer, c, s) in sorted(best.items())]
+                    item, c, x, mine = items[j], float(cosine[i, j]), d[i], out[d[i]]
+                    found = self.confirm(item, h, max(int(first[x]), int(s[i]) - size // 2), min(int(first[x + 1]), int(e[i]) + size // 2))
+                    if found and (*found, c) > mine.get(item, ())[:3]:
+                        mine[item] = (*found, c, int(s[i] - first[x]))
+        return [[(self.ids[item], c, share, answer, at) for item, (share, answer, c, at) in sorted(x.items())] for x in out]
 
     def confirm(self, item: int, h: np.ndarray, start: int, end: int) -> tuple[float, float] | None:
-        words = self.words[item]
-        region = h[start:end]
-        need = LCS_WITH_ANSWER * len(words)
-        if np.isin(words, region).sum() < need:
+        a, b = self.sets[item], h[start:end].tolist()
+        there = set(b)
+        if sum(x in there for x in a) < LCS_WITH_ANSWER * len(a):
             return None
-        a, b = words.tolist(), region.tolist()
         share = lcs(a, b) / len(a)
         if share < LCS_WITH_ANSWER:
             return None
@@ -270,7 +293,7 @@ def _found(block: Block, texts: list[bytes]) -> list[list]:
     out = []
     for a, b in groups(texts):
         _, _, h, first = words_of(texts[a:b], lower=True)
-        out += [block.search(h[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)]
+        out += block.search(h, first)
     return out
 
 
