@@ -1,8 +1,8 @@
 """WARC archives: writing, and reading by boundary-chain verification (operator 10).
 
 Writing is DataFrame work: a record is a text value, and the text writer's line
-separator is the blank lines that end a record, so tasks write whole archives
-to any store. Pages of equal payload (at least MIN_REVISIT_BYTES) are grouped by
+separator is the blank lines that end a record, so tasks write whole archives,
+compressed, to any store. Pages of equal payload (at least MIN_REVISIT_BYTES) are grouped by
 digest; the largest page_id is the response and the others are revisits without
 the body.
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop, shared_dir
+from .common import bounded_batches, cut, drop, shared_dir
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -72,7 +72,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Archives of at most FILE_RECORDS records each, in a folder of any store that Spark can write."""
+    """Archives (gzip) of at most FILE_RECORDS records each, in a folder of any store that Spark can write. Offsets are those of the uncompressed bytes."""
     line = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=UTF-8{line}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.coalesce(F.decode("payload", "UTF-8"), F.lit("")))
@@ -89,7 +89,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.concat(F.lit("Content-Length: "), F.octet_length(F.col("_block")).cast("string")),
     )
     lines = records.withColumn("_block", block).select(F.concat(head, F.lit(END), F.col("_block")).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
 
 
 def _candidate(data: bytes, at: int) -> tuple | None:
@@ -129,10 +129,13 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every offset at which a record can be read, with its successor's offset; what a file holds at offset 0 comes first."""
 
     def run(batches):
+        import gzip
+
         import pyarrow as pa
 
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = gzip.decompress(data)
                 rows, at = [], data.find(MAGIC)
                 while at >= 0:
                     if found := _candidate(data, at):
@@ -171,6 +174,7 @@ def reachable(nodes: DataFrame) -> DataFrame:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives in a folder: file, at, page_id, record_type, refers_to, payload_bytes, payload_digest."""
     nodes = cut(candidates(spark, path))
+    bounded_batches(spark)
     return nodes.join(reachable(nodes), ["file", "at"], "left_semi").drop("next")
 
 
