@@ -4,7 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    return []
+    from gavel.operators import queries_records, queries_search
+
+    return [queries_search, queries_records]
 
 
 def queries() -> dict:
