@@ -12,9 +12,9 @@ Equal sets are one representative (their least doc_id). Sketches are banded;
 within a bucket, representatives are compared with a hub, not with each other.
 Comparison is exact, on full sets made from the texts. Links make components;
 buckets that still hold several components get other hubs, and what remains of a
-bucket outside its largest component is compared with all of the bucket, in blocks,
-first by sketch and then exactly. So each pair that shares a bucket is linked,
-in one component already, or checked; no bucket is capped.
+bucket outside its largest component is compared with all of the bucket, block by
+block within tasks, first by sketch and then on full sets. So each pair that shares
+a bucket is linked, in one component already, or checked; no bucket is capped.
 
 Chance of a missed bucket: at similarity 0.75, (1 - 0.75^4)^32 = 5e-6.
 
@@ -41,7 +41,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 BINS, BANDS = 128, 32
 ROWS = BINS // BANDS
 #: Rounds of hubs before the rest is compared in blocks of about BLOCK members.
-HUB_ROUNDS, BLOCK = 4, 256
+HUB_ROUNDS, BLOCK = 4, 64
 #: Sketches that agree in fewer coordinates are no candidates in blocks: 5 standard deviations below a similarity of 0.75.
 LEAST_AGREEING = int(BINS * 0.56)
 
@@ -174,37 +174,73 @@ def _with_components(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def _in_blocks(mixed: DataFrame, sketched: DataFrame, best_only: bool) -> DataFrame:
-    """Candidate pairs (a, b) of a bucket's members outside its largest component with all members of other components, by sketch.
+def _sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles): the full sets as packed sorted hashes."""
 
-    mixed: (key, id, comp) of buckets that hold several components. best_only: for each block and component, the member that agrees most.
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = as_bytes(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for a, b in groups(own) for s in shingle_sets(own[a:b])], pa.binary())], names=["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, shingles binary")
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    common = int(np.isin(a, b, assume_unique=True, kind="sort").sum()) if min(len(a), len(b)) * DENOMINATOR >= NUMERATOR * max(len(a), len(b)) else 0
+    return common > 0 and DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common)
+
+
+def _in_blocks(mixed: DataFrame, known: DataFrame) -> DataFrame:
+    """Links (a, b) between a bucket's members outside its largest component and all its members of other components.
+
+    mixed: (key, id, comp) of buckets that hold several components; known: (id, bands, sketch, shingles). Blocks of members meet blocks in tasks, which compare sketches first and then full sets, and pass over pairs that an earlier bucket holds too or that links found in the same task connect. Only links leave a task.
     """
     per = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     per = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-    d = mixed.join(per, "key").join(sketched.select("id", "sketch"), "id")
-    blocks = d.groupBy("key", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")).agg(F.collect_list(F.struct("id", "comp", "sketch")).alias("members"))
-    rest = d.filter("comp <> largest").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("id").alias("a"), F.col("comp").alias("own"), F.col("sketch").alias("mine"))
+    d = mixed.join(per, "key").join(known, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = F.collect_list(F.struct("id", "comp", "bands", "sketch", "shingles"))
+    every = d.groupBy("key", "block").agg(rows.alias("all"))
+    rest = d.filter("comp <> largest").groupBy("key", "block").agg(rows.alias("rest")).drop("block")
 
     def run(batches):
         import pyarrow as pa
 
+        def read(members):
+            m = members.values
+            bands = m.field(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+            sketch = np.frombuffer(b"".join(m.field(3).to_pylist()), dtype=np.uint16).reshape(-1, BINS)
+            return m.field(0).to_numpy(), m.field(1).to_numpy(), bands, sketch, [np.frombuffer(x, dtype=np.uint64) for x in m.field(4).to_pylist()]
+
         for batch in batches:
             left, right = [], []
-            for a, own, mine, members in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                m = members.values
-                ids, comps = m.field(0).to_numpy(), m.field(1).to_numpy()
-                sk = np.frombuffer(b"".join(m.field(2).to_pylist()), dtype=np.uint16).reshape(-1, BINS)
-                agree = (sk == np.frombuffer(mine, dtype=np.uint16)).sum(axis=1)
-                near = np.flatnonzero((comps != own) & (agree >= LEAST_AGREEING))
-                if best_only and len(near):
-                    order = near[np.lexsort((ids[near], -agree[near], comps[near]))]
-                    near = order[np.concatenate([[True], comps[order[1:]] != comps[order[:-1]]])]
-                left += [a] * len(near)
-                right += ids[near].tolist()
+            for key, one, two in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                a, a_comp, a_bands, a_sketch, a_sets = read(one)
+                b, b_comp, b_bands, b_sketch, b_sets = read(two)
+                up: dict[int, int] = {}
+
+                def root(x, up=up):
+                    while up.get(x, x) != x:
+                        x = up[x]
+                    return x
+
+                for i in range(len(a)):
+                    agree = (b_sketch == a_sketch[i]).sum(axis=1)
+                    near = np.flatnonzero((b_comp != a_comp[i]) & (agree >= LEAST_AGREEING))
+                    if not len(near):
+                        continue
+                    same = b_bands[near] == a_bands[i]
+                    near = near[a_bands[i][same.argmax(axis=1)] == key]  # the first bucket that both are in
+                    for j in near[np.argsort(-agree[near], kind="stable")]:
+                        x, y = root(int(a_comp[i])), root(int(b_comp[j]))
+                        if x != y and _linked(a_sets[i], b_sets[j]):
+                            up[max(x, y)] = min(x, y)
+                            left.append(max(int(a[i]), int(b[j])))
+                            right.append(min(int(a[i]), int(b[j])))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    joined = rest.join(blocks, ["key", "block"]).select("a", "own", "mine", "members")
-    return joined.mapInArrow(run, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return rest.join(every.drop("block"), "key").select("key", "rest", "all").mapInArrow(run, "a long, b long").distinct()
 
 
 def _labels(reps: DataFrame, texts: DataFrame) -> DataFrame | None:
@@ -214,7 +250,6 @@ def _labels(reps: DataFrame, texts: DataFrame) -> DataFrame | None:
     members = cut(spread.join(shared, "key").select("key", "id"))
     involved = members.select("id").distinct()
     own_texts = cut(texts.join(involved, "id", "left_semi").dropDuplicates(["id"]))
-    sketched = cut(reps.join(involved, "id", "left_semi").select("id", "sketch").dropDuplicates(["id"]))
     edges, labels, tested = None, None, None
 
     def add(pairs: DataFrame) -> tuple[int, int]:
@@ -243,13 +278,14 @@ def _labels(reps: DataFrame, texts: DataFrame) -> DataFrame | None:
             return labels
         if 10 * found < asked:
             break
-    for best_only in (True, False):
-        held = _with_components(members, labels)
-        several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        mixed = cut(held.join(several, "key"))
-        if mixed.isEmpty():
-            break
-        add(_in_blocks(mixed, sketched, best_only))
+    held = _with_components(members, labels)
+    several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
+    mixed = cut(held.join(several, "key"))
+    left = mixed.select("id").distinct()
+    sets = _sets(own_texts.join(left, "id", "left_semi"))
+    links = cut(_in_blocks(mixed, reps.join(left, "id", "left_semi").dropDuplicates(["id"]).join(sets, "id")))
+    if not links.isEmpty():
+        labels = components(links if edges is None else edges.union(links))
     return labels
 
 
