@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from gavel.operators import queries_people, queries_quality, queries_records, queries_search
+    from gavel.operators import queries_merging, queries_people, queries_quality, queries_records, queries_search
 
-    return [queries_search, queries_records, queries_people, queries_quality]
+    return [queries_search, queries_records, queries_people, queries_quality, queries_merging]
 
 
 def queries() -> dict:
