@@ -12,7 +12,7 @@ def test_roll_calls(spark):
 def test_chunks(spark):
     text = "aa bb cccccccc d e " * 3
     found = spark.createDataFrame([(text,), (None,), ("  ",)], "t string").select(agenda_text.chunks(F.col("t"), 8, 3, 5)).collect()
-    assert found[0][0] == ["aa bb", "cccccccc", "d e aa"] and found[1][0] == [] and found[2][0] == []
+    assert found[0][0] == ["aa bb", "cccccccc", "d e aa", "bb"] and found[1][0] == [] and found[2][0] == []
 
 
 def test_html_lines_and_numbered_rows(spark):
