@@ -7,8 +7,10 @@ the TF-IDF matrix whose rows are all passages of all documents and of the
 benchmark, and whose columns are the benchmark's terms: with a random matrix O,
 tasks sum up A'(A O), and the driver gets singular vectors from the small products
 (Nystroem's method, one pass). The third slides windows over every text, projects
-them, and takes those whose cosine with an item is large as candidates; windows
-with too little weight on benchmark terms for that are skipped unprojected. A
+them, and takes those whose cosine with an item is large as candidates; words that
+are no terms do not count in a window's length, and no term weighs less than
+LEAST_IDF, so an item weighs the same however often the documents hold it. Places
+that share MIN_WORDS consecutive words with an item are candidates without that. A
 candidate is confirmed by the longest common subsequence of words with the item,
 or a shorter one together with the item's answer, its last words.
 
@@ -16,7 +18,7 @@ Benchmark items are worked on in blocks of RANK, so that what tasks are sent is
 bounded; each block takes its own second and third scan.
 
 Defined results: null or empty texts and items match nothing; items of fewer than
-MIN_WORDS words are not searched for; rows may repeat and are judged each; an empty
+MIN_WORDS words are found as whole sequences only; rows may repeat and are judged each; an empty
 documents or benchmark table gives no matches; other columns are kept by clean and
 ignored by matches.
 """
@@ -39,21 +41,32 @@ RANK = 256
 OVERSAMPLING = 8
 MIN_WORDS = 8
 LEAST_COSINE = 0.35
-#: Terms below this inverse document frequency (in more than one of 250 passages) are stop words, unless they are among an item's RAREST.
+#: Words below this inverse document frequency (in more than one of 250 passages) are terms only as some of an item's rarest, RAREST or more; no term's weight is less.
 LEAST_IDF, RAREST = 5.5, 8
-#: A window with fewer words from the benchmark's terms is no candidate: an item has RAREST terms or more if it has so many words at all, and LCS_WITH_ANSWER of its words must be there.
+#: A window with fewer words from the benchmark's terms is no candidate: an item has so many terms (or all its words) that LEAST_TERMS are left if only LCS_WITH_ANSWER of its words are there.
 LEAST_TERMS = 3
 #: Shares of an item's words in common order: enough alone, enough with the answer, and of the answer's own.
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.75
 ANSWER_SHARE, ANSWER_WORDS = 0.2, 3
 #: In the decomposition the items' rows together weigh so many times as much as all passages of documents.
 ITEM_WEIGHT = 10.0
+_A = np.uint64(0x9FB21C651E98DF25)
+#: A table of so many bits says for a run of words whether an item may hold it.
+RUN_BITS = 20
 
 
 def bucket(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def runs_of(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each word on."""
+    out = np.zeros(max(0, len(h) - n + 1), dtype=np.uint64)
+    for k in range(n):
+        out = out * _A + h[k : len(h) - n + 1 + k] if len(out) else out
+    return out
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel: one addition of wide integers for each word of b."""
     places: dict = {}
@@ -111,21 +124,26 @@ class Block:
 
     def __init__(self, items: list[tuple[int, bytes]], frequencies: np.ndarray, n_passages: int):
         self.idf = np.log((1 + n_passages) / (1 + frequencies)).clip(0).astype(np.float32)
-        self.ids, self.words = [], []
-        for i, text in items:
-            h = words_of([text], lower=True)[2]
-            if len(h) >= MIN_WORDS:
-                self.ids.append(i)
-                self.words.append(h)
+        every = [(i, words_of([text], lower=True)[2]) for i, text in items]
+        long, short = [x for x in every if len(x[1]) >= MIN_WORDS], [x for x in every if 0 < len(x[1]) < MIN_WORDS]
+        self.words = [h for _, h in long]
+        self.ids = [i for i, _ in long + short]
         own = [np.unique(w) for w in self.words]
         own = [w[np.argsort(-self.idf[bucket(w)], kind="stable")] for w in own]
-        every = np.unique(np.concatenate([w[(self.idf[bucket(w)] >= LEAST_IDF) | (np.arange(len(w)) < RAREST)] for w in own])) if own else np.zeros(0, dtype=np.uint64)
-        self.terms = every[self.idf[bucket(every)] > 0]
-        # what a word adds to a window's length: nothing for stop words
-        self.square = np.where(self.idf >= LEAST_IDF, self.idf.astype(np.float64) ** 2, 0)
-        self.square[bucket(self.terms)] = self.idf[bucket(self.terms)].astype(np.float64) ** 2
-        self.sets = [w.tolist() for w in self.words]
-        self.weights = self.idf[bucket(self.terms)]
+        least = [max(RAREST, int(np.ceil((1 - LCS_WITH_ANSWER) * len(w))) + LEAST_TERMS) for w in self.words]
+        self.terms = np.unique(np.concatenate([w[(self.idf[bucket(w)] >= LEAST_IDF) | (np.arange(len(w)) < n)] for w, n in zip(own, least, strict=True)])) if own else np.zeros(0, dtype=np.uint64)
+        self.sets = [h.tolist() for _, h in long + short]
+        self.weights = np.maximum(self.idf[bucket(self.terms)], np.float32(LEAST_IDF))
+        # runs of words by their number: of long items every run of MIN_WORDS, of short ones the whole
+        self.runs = []
+        for n in range(1, MIN_WORDS + 1):
+            held = [(j, runs_of(h, n)) for j, (_, h) in enumerate(long + short) if (len(h) == n if n < MIN_WORDS else len(h) >= n)]
+            if held:
+                run = np.concatenate([r for _, r in held])
+                order = np.argsort(run, kind="stable")
+                may = np.zeros(1 << RUN_BITS, dtype=bool)
+                may[(run >> np.uint64(64 - RUN_BITS)).astype(np.int64)] = True
+                self.runs.append((n, may, run[order], np.concatenate([np.full(len(r), j) for j, r in held])[order], np.concatenate([np.arange(len(r)) for _, r in held])[order]))
         # hash table of terms by their low bits, chained by slot order
         self.slots = 1 << max(12, int(4 * max(1, len(self.terms))).bit_length())
         slot = (self.terms % np.uint64(self.slots)).astype(np.int64)
@@ -220,12 +238,11 @@ class Block:
         out: list[dict[int, tuple]] = [{} for _ in range(n_docs)]
         t = self.term_of(h)
         active = np.flatnonzero(t >= 0)
-        if not len(active):
-            return [[] for _ in out]
-        square = self.square[bucket(h)]
-        energy = np.concatenate([[0], np.cumsum(square)])
-        own = np.concatenate([[0], np.cumsum(np.where(t >= 0, square, 0))])
+        energy = np.zeros(len(h) + 1)
+        energy[1 + active] = self.weights[t[active]].astype(np.float64) ** 2
+        energy = np.cumsum(energy)
         count = np.concatenate([[0], np.cumsum(t >= 0)])
+        self.search_runs(h, first, t, energy, out)
         sizes = np.diff(first)
         for size, items in self.classes:
             step = size // 4
@@ -234,7 +251,7 @@ class Block:
             offset = np.cumsum(per) - per + 3 * np.arange(n_docs)  # of a text's steps, three more than its windows
             starts = first[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per))
             ends = np.minimum(starts + size, first[doc + 1])
-            keep = np.flatnonzero((count[ends] - count[starts] >= LEAST_TERMS) & (own[ends] - own[starts] >= LEAST_COSINE**2 * (energy[ends] - energy[starts])))
+            keep = np.flatnonzero(count[ends] - count[starts] >= LEAST_TERMS)
             latent = self.latent[items].T
             for k in range(0, len(keep), 2048):
                 pick = keep[k : k + 2048]
@@ -252,11 +269,44 @@ class Block:
                 cosine = z @ latent / np.sqrt(energy[e] - energy[s])[:, None]
                 for i, j in zip(*np.nonzero(cosine >= LEAST_COSINE), strict=True):
                     item, c, x, mine = items[j], float(cosine[i, j]), d[i], out[d[i]]
+                    if mine.get(item, ())[:2] == (1.0, 1.0):
+                        continue
                     found = self.confirm(item, h, max(int(first[x]), int(s[i]) - size // 2), min(int(first[x + 1]), int(e[i]) + size // 2))
                     if found and (*found, c) > mine.get(item, ())[:3]:
                         mine[item] = (*found, c, int(s[i] - first[x]))
         return [[(self.ids[item], c, share, answer, at) for item, (share, answer, c, at) in sorted(x.items())] for x in out]
 
+    def search_runs(self, h: np.ndarray, first: np.ndarray, t: np.ndarray, energy: np.ndarray, out: list[dict[int, tuple]]) -> None:
+        """Add to out what is confirmed where a text and an item share a run of words."""
+        for n, may, known, items, offsets in self.runs:
+            run = runs_of(h, n)
+            at = np.flatnonzero(may[(run >> np.uint64(64 - RUN_BITS)).astype(np.int64)])
+            lo, hi = np.searchsorted(known, run[at]), np.searchsorted(known, run[at], side="right")
+            doc = np.searchsorted(first, at, side="right") - 1
+            good = (hi > lo) & (at + n <= first[doc + 1])
+            at, lo, doc, m = at[good], lo[good], doc[good], (hi - lo)[good]
+            which = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo, m)
+            at, doc, item = np.repeat(at, m), np.repeat(doc, m), items[which]
+            start = at - offsets[which]
+            length = np.array([len(x) for x in self.sets], dtype=np.int64)[item]
+            # one place for each quarter of an item; a short item's first is enough
+            place = np.stack([doc, item, start // np.maximum(1, length // 4) if n == MIN_WORDS else np.zeros_like(start)])
+            for i in np.sort(np.unique(place, axis=1, return_index=True)[1]).tolist():
+                x, j, size, mine = int(doc[i]), int(item[i]), int(length[i]), out[doc[i]]
+                if mine.get(j, ())[:2] == (1.0, 1.0):
+                    continue
+                s, e = max(int(first[x]), int(start[i])), min(int(first[x + 1]), int(start[i]) + size)
+                if n < MIN_WORDS:
+                    if h[s:e].tolist() == self.sets[j]:
+                        mine[j] = (1.0, 1.0, 1.0, s - int(first[x]))
+                    continue
+                found = self.confirm(j, h, max(int(first[x]), s - size // 2), min(int(first[x + 1]), e + size // 2))
+                if found:
+                    own = t[s:e]
+                    c = float(self.vectors[own[own >= 0]].sum(axis=0) @ self.latent[j] / np.sqrt(max(1e-9, energy[e] - energy[s])))
+                    if (*found, c) > mine.get(j, ())[:3]:
+                        mine[j] = (*found, c, s - int(first[x]))
+
     def confirm(self, item: int, h: np.ndarray, start: int, end: int) -> tuple[float, float] | None:
         a, b = self.sets[item], h[start:end].tolist()
         there = set(b)
@@ -283,9 +333,10 @@ def blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_tex
             pending = []
     if pending:
         out.append(Block(pending, frequencies, n))
-    out = [b for b in out if len(b.terms)]
+    out = [b for b in out if b.ids]
     for b in out:
-        b.fit(source)
+        if len(b.terms):
+            b.fit(source)
     return out
 
 

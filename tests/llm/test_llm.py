@@ -210,6 +210,21 @@ def test_decontamination(spark, empty):
     assert decontaminate.matches(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_an_item_in_a_third_of_the_documents(spark):
+    rng = random.Random(16)
+    item = [f"qua{i}mon" for i in range(22)]
+    benchmark = spark.createDataFrame([(0, " ".join(item)), (1, "three short words")], "item_id long, text string")
+    texts = []
+    for i in range(1500):
+        around = [f"u{rng.randrange(10**9)}" for _ in range(40)]
+        if i % 3 == 0:  # verbatim; in every tenth of these each sixth word is another
+            around[20:20] = item if i % 30 else [w if k % 6 else f"x{i}" for k, w in enumerate(item)]
+        texts.append(" ".join(around))
+    texts += ["a THREE  short words b", "three short", "short words three"]
+    found = decontaminate.matches(documents(spark, texts), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, 0) for i in range(0, 1500, 3)} | {(1500, 1)}
+
+
 def test_lcs():
     assert decontaminate.lcs(list("abcde"), list("xaybzcde")) == 5
     assert decontaminate.lcs(list("abc"), []) == 0
