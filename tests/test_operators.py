@@ -88,3 +88,17 @@ def test_histogram_quantile_in_last_bucket(spark):
 def test_counter_reset(spark):
     s = spark.createDataFrame([("k", 1, 5), ("k", 2, 9), ("k", 3, 2)], "k string, t int, v long")
     assert [(r.delta, r.reset_delta) for r in runs.counter_deltas(s, "k", "t", "v").orderBy("t").collect()] == [(None, 5), (4, 4), (None, 2)]
+
+
+def test_agenda_items_are_all_lines_of_a_document(spark, tmp_path):
+    import duckdb
+
+    from gavel.plans.bridge import Tables, twin
+
+    rows = [(1, "\n".join(f"line {i}" for i in range(1200))), (2, "only\nthese\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {tuple(r) for r in Tables(spark, str(tmp_path)).agenda_item.collect()}
+    assert len(found) == len({r[0] for r in found}) == 1203 and max(r[2] for r in found) == 1199
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert set(duck.execute(twin("SELECT * FROM {agenda_item}")).fetchall()) == found
