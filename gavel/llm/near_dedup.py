@@ -274,9 +274,7 @@ def _labels(reps: DataFrame, texts: DataFrame) -> DataFrame | None:
         near = held.join(hubs, "key").filter("comp <> hub.comp").groupBy("id").agg(F.min_by("hub.id", F.col("hub.id") if r == 0 else F.xxhash64("hub.id", F.lit(r))).alias("hub"))
         pairs = near.select(F.greatest("id", "hub").alias("a"), F.least("id", "hub").alias("b")).distinct()
         asked, found = add(pairs)
-        if not asked:
-            return labels
-        if 10 * found < asked:
+        if 10 * found < asked or not asked:  # no new pair does not mean that no bucket is mixed
             break
     held = _with_components(members, labels)
     several = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")

@@ -178,6 +178,17 @@ def test_blocks_find_what_hubs_leave(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()} == dict(enumerate(component))
 
 
+def test_chain_whose_hub_comes_again(spark):
+    rng = random.Random(15)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    chain = [" ".join(t) for t in ([f"a{i}" for i in range(12)] + base[12:], base, base[:88] + [f"z{i}" for i in range(12)])]
+    hashed = {r.id: r.h for r in spark.range(30).select("id", F.xxhash64("id", F.lit(1)).alias("h")).collect()}
+    ids = next((x, y, z) for x in range(30) for y in range(x) for z in range(y) if hashed[z] < hashed[y] < hashed[x])[::-1]
+    for order in (ids, ids[::-1], (ids[1], ids[2], ids[0])):
+        docs = spark.createDataFrame(list(zip(order, chain, strict=True)), "doc_id long, text string")
+        assert {r.component_id for r in near_dedup.near_duplicates(docs).collect()} == {min(ids)}, order
+
+
 def test_every_coordinate_fills():
     import numpy as np
 
