@@ -1,8 +1,9 @@
 """Main-text extraction by consensus host paths (operator 9).
 
 Each page's containers get a score from the text of the blocks in them, less
-their links. The page votes for the generalised tag-class path of its best
-container; Spark counts the votes of each host, and every page is then read again
+their links. From the best one the page climbs to the article or main around it, or
+else to the container that holds nearly all text and every h1, and votes for the
+generalised tag-class path of that; Spark counts the votes of each host, and every page is then read again
 at its host's winning path. A page where that path has no text uses its own best
 container.
 
@@ -29,6 +30,8 @@ from .common import bounded_batches, cut
 
 #: Up to so many hosts (each with a path of at most PATH_CHARS) the winners are broadcast; beyond, they are joined with salt.
 BROADCAST_HOSTS, PATH_CHARS, SALTS = 20_000, 300, 16
+#: A container with this share of a page's text holds nearly all of it.
+NEARLY_ALL = 0.95
 
 RAW = {"script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "xmp"}
 VOID = {"br", "hr", "img", "meta", "link", "input", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
@@ -139,20 +142,47 @@ class Page:
         flush()
 
     def best(self) -> tuple[int, float]:
-        """The container with the highest score: text of its blocks less their links, and half of the containers in it."""
+        """The container of the article, and the text of all blocks in it less their links.
+
+        From the container with the highest score (text of its blocks less their links, and half of the containers in it): the outermost article around it, else the outermost main, else the next container that holds nearly all the page's text, every h1, and not only containers unless it is the body.
+        """
         score: dict[int, float] = {}
+        whole: dict[int, float] = {}  # undiminished, of each element
+        heads: dict[int, int] = {}
+        own: set[int] = set()  # containers with blocks outside inner containers
         for at, text, links in self.blocks:
             if self.dropped[at] or (value := len(text) - 2 * links) <= 0:
                 continue
+            up, head = at, self.tag[at] == "h1"
+            while up >= 0:
+                whole[up] = whole.get(up, 0) + value
+                heads[up] = heads.get(up, 0) + head
+                up = self.parent[up]
             while at > 0 and not self.is_container[at]:
                 at = self.parent[at]
+            if self.tag[at] not in ("", "html", "body"):
+                own.add(at)
             score[at] = score.get(at, 0) + value
             up = self.parent[at]
             while up > 0 and not self.is_container[up]:
                 up = self.parent[up]
             if up >= 0:
                 score[up] = score.get(up, 0) + value / 2
-        return max(score.items(), key=lambda x: (x[1], -x[0]), default=(-1, 0.0))
+        if not score:
+            return -1, 0.0
+        at = max(score.items(), key=lambda x: (x[1], -x[0]))[0]
+        around = [at]
+        while around[-1] > 0:
+            around.append(self.parent[around[-1]])
+        for tag in ("article", "main"):
+            if found := [i for i in around if self.tag[i] == tag]:
+                return found[-1], whole[found[-1]]
+        for k, i in enumerate(around):
+            if self.is_container[i] and whole[i] >= NEARLY_ALL * whole[0] and heads[i] == heads[0]:
+                # a lead directly in a container around belongs to the text in it
+                i = next((j for j in reversed(around[k:]) if j in own), i)
+                return i, whole[i]
+        return 0, whole[0]
 
     def text(self, inside) -> str:
         """Blocks that inside(element) or an element around it holds for."""
