@@ -19,6 +19,7 @@ n_chars or host are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut
 
-#: Up to so many hosts (each with a path of at most PATH_CHARS) the winners are broadcast; beyond, they are joined with salt.
-BROADCAST_HOSTS, PATH_CHARS, SALTS = 20_000, 300, 16
+#: Up to so many hosts (each with a path's depth and hash) the winners are broadcast; beyond, they are joined with salt.
+BROADCAST_HOSTS, SALTS = 20_000, 16
 #: A container with this share of a page's text holds nearly all of it.
 NEARLY_ALL = 0.95
 
@@ -52,7 +53,8 @@ class Page:
     """Elements that hold blocks, and the blocks of text in page order."""
 
     def __init__(self, html: str):
-        self.parent, self.path, self.is_container, self.dropped, self.tag = [-1], [""], [True], [False], [""]
+        # a path is its depth and a hash of the parent's path and the step
+        self.parent, self.path, self.is_container, self.dropped, self.tag = [-1], ["000000"], [True], [False], [""]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, of which in links
         self.read(html)
 
@@ -63,7 +65,8 @@ class Page:
         if first := names.split():
             step += "." + ".".join(sorted({re.sub(r"\d+", "#", x) for x in first}))
         self.parent.append(up)
-        self.path.append(f"{self.path[up]}>{step}"[:PATH_CHARS])
+        above = self.path[up]
+        self.path.append(f"{int(above[:6]) + 1:06d}" + hashlib.blake2b(f"{above}>{step}".encode("utf-8", "replace"), digest_size=16).hexdigest())
         self.is_container.append(tag in CONTAINERS)
         self.tag.append(tag)
         drop = self.dropped[up] or tag in DROPPED
@@ -226,7 +229,7 @@ def votes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
 
     each = pages.select(_host(url).alias("host"), html).mapInArrow(run, "host string, path string, score double").filter("path IS NOT NULL")
     counted = each.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum("score").alias("score"))
-    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", F.round("score", 3), F.expr("-length(path)"), "path")).alias("path"))
+    return counted.groupBy("host").agg(F.max_by("path", F.struct("votes", F.round("score", 3), -F.substring("path", 1, 6).cast("int"), "path")).alias("path"))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -370,10 +370,11 @@ def test_html_extraction_keeps_titles_leads_and_sections(spark):
         2: f"<article><section class=a>{short}</section><section class=b>{long}</section></article><div class=teaser><p>Outside</p></div>",
         3: f"<div class=page><div class=post><h1>Title</h1><p>Lead</p><div class=body>{long}</div></div></div>",
         4: f"<div class=post><div class=top><h1>Title</h1></div><div class=body>{long}</div></div>",
+        5: "<div class='" + " ".join(f"utility-{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)) + f"'><article><h1>Title</h1>{long}</article><div class=x><p>Outside</p></div></div>",
     }
     df = spark.createDataFrame([(i, f"http://h{i}.org/", f"<html><body>{b}</body></html>") for i, b in bodies.items()], "page_id long, url string, html string")
     w, p = ("word " * 60).strip(), ("part " * 9).strip()
-    expected = {1: f"Title\n{w}", 2: f"{p}\n{w}", 3: f"Title\nLead\n{w}", 4: f"Title\n{w}"}
+    expected = {1: f"Title\n{w}", 2: f"{p}\n{w}", 3: f"Title\nLead\n{w}", 4: f"Title\n{w}", 5: f"Title\n{w}"}
     assert {r.page_id: r.text for r in html_extract.extract(df).collect()} == expected
 
 
