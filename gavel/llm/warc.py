@@ -11,7 +11,7 @@ for every place where a record header can be parsed and emit its offset, its
 successor's offset (header, declared length and the closing blank lines) and what
 the record says. Pointer jumping in Spark, with the pointers doubled in each
 round, then finds the offsets reachable from the start of each file; only those
-are records.
+are records. A chain that does not reach the end of its file is an error.
 
 Defined results: a null html is an empty payload; null page_ids are never grouped;
 repeated rows with the largest page_id of a group are all responses; a null url
@@ -32,8 +32,8 @@ from .common import bounded_batches, cut, drop, shared_dir
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
 MIN_REVISIT_BYTES = 1000
-#: Records of an archive file at most.
-FILE_RECORDS = 2000
+#: Records of an archive file at most, and about so many bytes (or a single record).
+FILE_RECORDS, FILE_BYTES = 2000, 256 << 20
 SALTS = 32
 
 _RECORDS = T.StructType(
@@ -72,7 +72,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """Archives (gzip) of at most FILE_RECORDS records each, in a folder of any store that Spark can write. Offsets are those of the uncompressed bytes."""
+    """Archives (gzip) of at most FILE_RECORDS records and about FILE_BYTES each, in subfolders by the size of records, in any store that Spark can write. Offsets are those of the uncompressed bytes."""
     line = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{line}Content-Type: text/html; charset=UTF-8{line}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.concat(http, F.coalesce(F.decode("payload", "UTF-8"), F.lit("")))
@@ -88,15 +88,21 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.lit("Content-Type: application/http; msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(F.col("_block")).cast("string")),
     )
-    lines = records.withColumn("_block", block).select(F.concat(head, F.lit(END), F.col("_block")).alias("value"))
-    lines.write.option("lineSep", END).option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
-
-
-def _candidate(data: bytes, at: int) -> tuple | None:
-    """What the record at this offset says, if a header can be parsed there and its block fits."""
+    # records of a class have at most FILE_BYTES / FILE_RECORDS bytes times 4 ** class; a url's byte may become three
+    most = F.col("payload_bytes") + 3 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1024
+    size = F.greatest(F.lit(0), F.ceil(F.log(4.0, most * FILE_RECORDS / FILE_BYTES))).cast("int")
+    found = sorted(r[0] for r in records.select(size.alias("size")).distinct().collect()) or [0]  # a row for each power of four
+    for k in found:
+        part = records.filter(size == k) if len(found) > 1 else records
+        lines = part.withColumn("_block", block).select(F.concat(head, F.lit(END), F.col("_block")).alias("value"))
+        lines.write.option("lineSep", END).option("maxRecordsPerFile", max(1, FILE_RECORDS >> 2 * k)).option("compression", "gzip").text(f"{path}/size-{k}")
+
+
+def _candidate(data: bytes, at: int, before: int) -> tuple | None:
+    """What the record at this offset says, if a header that ends before the next magic string can be parsed there and its block fits."""
     import hashlib
 
-    stop = data.find(b"\r\n\r\n", at, at + 65536)
+    stop = data.find(b"\r\n\r\n", at, before)
     if stop < 0:
         return None
     fields = {}
@@ -126,7 +132,7 @@ def _candidate(data: bytes, at: int) -> tuple | None:
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Every offset at which a record can be read, with its successor's offset; what a file holds at offset 0 comes first."""
+    """Every offset at which a record can be read, with its successor's offset, and the end of each file without one."""
 
     def run(batches):
         import gzip
@@ -136,16 +142,16 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = gzip.decompress(data)
-                rows, at = [], data.find(MAGIC)
+                rows, at = [(file, len(data), *[None] * 6)], data.find(MAGIC)
                 while at >= 0:
-                    if found := _candidate(data, at):
+                    after = data.find(MAGIC, at + 1)
+                    if found := _candidate(data, at, after if after >= 0 else len(data)):
                         rows.append((file, at, *found))
-                    at = data.find(MAGIC, at + 1)
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _arrow(), strict=True)], schema=_arrow())
+                    at = after
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _arrow(), strict=True)], schema=_arrow())
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file; a file's size is bounded by FILE_RECORDS
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file; a file's size is bounded by FILE_RECORDS and FILE_BYTES
     return files.select("path", "content").mapInArrow(run, _RECORDS)
 
 
@@ -157,7 +163,7 @@ def _arrow():
 
 def reachable(nodes: DataFrame) -> DataFrame:
     """Of (file, at, next), the (file, at) on the chain from offset 0: after k rounds, all within 2^k steps of it."""
-    jumps = nodes.select("file", "at", "next")
+    jumps = nodes.filter("next IS NOT NULL").select("file", "at", "next")
     reached = cut(nodes.filter("at = 0").select("file", "at"))
     count = reached.count()
     while True:
@@ -175,7 +181,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives in a folder: file, at, page_id, record_type, refers_to, payload_bytes, payload_digest."""
     nodes = cut(candidates(spark, path))
     bounded_batches(spark)
-    return nodes.join(reachable(nodes), ["file", "at"], "left_semi").drop("next")
+    reached = reachable(nodes)
+    if broken := nodes.filter("next IS NULL").join(reached, ["file", "at"], "left_anti").first():
+        raise ValueError(f"the records of {broken.file} do not reach its end, {broken.at}")
+    return nodes.filter("next IS NOT NULL").join(reached, ["file", "at"], "left_semi").drop("next")
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:

@@ -395,6 +395,24 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_long_urls_and_archives_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 1 << 20)
+    pages = [(i, "data:text/html," + "x y" * 30_000 if i == 3 else f"http://a/{i}", f"{i}" * (150_000 if i > 20 else 10)) for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    found = warc.round_trip(df, str(tmp_path / "w")).collect()
+    assert {(r.page_id, r.payload_digest) for r in found} == {(i, hashlib.sha1(h.encode()).hexdigest()) for i, _, h in pages} and len(found) == 30
+    files = list((tmp_path / "w").rglob("part-*"))
+    assert max(len(gzip.decompress(f.read_bytes())) for f in files) < 2 << 20
+    broken = next(f for f in files if len(gzip.decompress(f.read_bytes())) > 2000)
+    broken.write_bytes(gzip.compress(gzip.decompress(broken.read_bytes())[:-9]))
+    for crc in broken.parent.glob(f".{broken.name}.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="do not reach its end"):
+        warc.read_warc(spark, str(tmp_path / "w")).count()
+
+
 # pipeline
 
 
