@@ -60,7 +60,9 @@ def w5_expansion(t):
 def g8_hydrate(t):
     from pyspark.sql import Window
 
-    c = t.part.filter("p_size < 30").select(F.col("p_partkey").alias("catalog_id"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"), (F.col("p_retailprice") / 7).alias("score"))
+    # only the page is numbered, after a distributed top-k; one row more, as the part with key 0 drops out
+    top = t.part.filter("p_size < 30").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10 + 20 + 1)
+    c = top.select(F.col("p_partkey").alias("catalog_id"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"), (F.col("p_retailprice") / 7).alias("score"))
     return merging.hydrate(c, t.catalog.select(F.col("id").alias("catalog_id"), "brand"), 20, 10)
 
 

@@ -102,3 +102,11 @@ def test_agenda_items_are_all_lines_of_a_document(spark, tmp_path):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     assert set(duck.execute(twin("SELECT * FROM {agenda_item}")).fetchall()) == found
+
+
+def test_hydrate_numbers_only_the_page(spark):
+    from gavel.operators import queries_merging
+
+    found = queries_merging.QUERIES["g8_hydrate"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "GlobalLimit 31" in plan[plan.index("Window ") :]
