@@ -5,49 +5,109 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are worked on in groups of about so many bytes, so that numpy's scratch arrays stay small.
 GROUP_BYTES = 1 << 20
 #: A text longer than this is hashed in pieces that end at white space.
 PIECE_BYTES = 4 << 20
 
+#: A join's key with more rows than these (of a few numbers; of texts; of blocks that meet blocks), and than one in SHARE of all, is dealt to several tasks.
+NARROW_ROWS, WIDE_ROWS, BLOCK_ROWS, SHARE = 10_000, 500, 8, 1000
+
 _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share (spark.checkpoint.dir). A session in one process, as in tests, gets one of its own where none is set; on a cluster that is an error."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
     return _own_dirs[app]
 
 
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, each write lets its shuffle files go when it ends: what it wrote is there to be read again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with released_shuffles(spark):
+        df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._cut_path = path
     return again
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table that cut() wrote and that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() wrote and that nothing reads any more."""
+    for df in tables:
+        if df is not None and hasattr(df, "_cut_path"):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def hot_keys(table: DataFrame, on: str | list[str], least: int, counts: DataFrame | None = None) -> DataFrame | None:
+    """(keys, _parts): the keys with more than least rows, and more than one in SHARE of all, and to how many tasks to deal them; None if there are none.
+
+    table was written by cut(); counts, if given, has its keys and their numbers of rows, n. There are fewer than SHARE hot keys, however many rows, so their list is bounded.
+    """
+    keys = [on] if isinstance(on, str) else on
+    total = table.count() if counts is None else counts.agg(F.sum("n")).first()[0] or 0
+    if total <= least:
+        return None
+    per = max(least, total // SHARE)
+    counts = table.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts
+    hot = counts.filter(F.col("n") > per).select(*keys, F.ceil(F.col("n") / per).cast("int").alias("_parts"))
+    rows = hot.collect()
+    return table.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str | list[str], by: str, hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left.join(right, on, how) (inner or left) in which no key fills a task: left's rows of hot keys are dealt by the column by, and right's rows of these keys repeated."""
+    keys = [on] if isinstance(on, str) else on
+    if hot is None:
+        return left.join(right, keys, how)
+    listed = F.broadcast(hot)  # fewer than SHARE rows
+    dealt = left.join(listed, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    repeated = right.join(listed, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(repeated, [*keys, "_part"], how).drop("_part")
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Small Arrow batches: the Python side holds one at a time, and a row may be a long document."""
+    """Small Arrow batches, by rows and by bytes: the Python side holds one at a time, and a row may be a long document. Spark reads these settings when it plans, so they stay set in the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of df has, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def as_bytes(column) -> list[bytes]:
