@@ -67,6 +67,20 @@ def runs_of(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def row_sums(table: np.ndarray, rows: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each i the sum of table[rows[begin[i] : begin[i] + n[i]]], n being small; added in order, longest first so that each step is one slice."""
+    order = np.argsort(-n, kind="stable")
+    at = begin[order]
+    left = np.cumsum(np.bincount(n, minlength=1)[::-1])[::-1]  # how many are of at least k rows
+    out = np.zeros((len(n), table.shape[1]), dtype=table.dtype)
+    for k in range(len(left) - 1):
+        m = left[k + 1]
+        out[:m] += table[rows[at[:m] + k]]
+    back = np.empty(len(n), dtype=np.int64)
+    back[order] = np.arange(len(n))
+    return out[back]
+
+
 def lcs(a: list, b: list) -> int:
     """Length of the longest common subsequence, bit-parallel: one addition of wide integers for each word of b."""
     places: dict = {}
@@ -183,7 +197,7 @@ class Block:
     def fit(self, docs: DataFrame) -> None:
         m, width = len(self.terms), min(RANK + OVERSAMPLING, len(self.terms))
         omega = np.random.RandomState(11).standard_normal((m, width)).astype(np.float32)
-        block = self
+        block, weighted = self, omega * self.weights[:, None]
 
         def run(batches):
             import pyarrow as pa
@@ -198,14 +212,13 @@ class Block:
                     if not len(at):
                         continue
                     t, passage = t[at], _passages(first)[at]
-                    w = block.weights[t][:, None]
                     head = np.flatnonzero(np.diff(passage, prepend=-1))
-                    norm = np.add.reduceat((w * w)[:, 0], head)
-                    row = np.add.reduceat(omega[t] * w, head, axis=0) / norm[:, None]
-                    back = row[np.repeat(np.arange(len(head)), np.diff(head, append=len(t)))] * w
+                    n = np.diff(head, append=len(t))
+                    row = row_sums(weighted, t, head, n) / np.add.reduceat(block.weights[t] ** 2, head)[:, None]
                     order = np.argsort(t, kind="stable")
                     begin = np.flatnonzero(np.diff(t[order], prepend=-1))
-                    total[t[order][begin]] += np.add.reduceat(back[order], begin, axis=0)
+                    term = t[order][begin]
+                    total[term] += np.add.reduceat(row[np.repeat(np.arange(len(head)), n)[order]], begin, axis=0) * block.weights[term][:, None]
             seen = np.flatnonzero(total.any(axis=1))
             for k in range(0, len(seen), 1024):
                 part = seen[k : k + 1024]
@@ -238,6 +251,7 @@ class Block:
         out: list[dict[int, tuple]] = [{} for _ in range(n_docs)]
         t = self.term_of(h)
         active = np.flatnonzero(t >= 0)
+        seen = t[active]
         energy = np.zeros(len(h) + 1)
         energy[1 + active] = self.weights[t[active]].astype(np.float64) ** 2
         energy = np.cumsum(energy)
@@ -262,10 +276,11 @@ class Block:
                 begin = np.minimum(first[block_doc] + step * (blocks - offset[block_doc]), first[block_doc + 1])
                 lo, hi = count[begin], count[np.minimum(begin + step, first[block_doc + 1])]
                 n = hi - lo
-                at = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
-                sums = np.zeros((len(blocks), self.vectors.shape[1]), dtype=np.float32)
-                sums[n > 0] = np.add.reduceat(self.vectors[t[active[at]]], (np.cumsum(n) - n)[n > 0], axis=0)
-                z = sums[where.reshape(-1, 4)].sum(axis=1)
+                sums = row_sums(self.vectors, seen, lo, n)
+                where = where.reshape(-1, 4)
+                z = sums[where[:, 0]]
+                for quarter in range(1, 4):
+                    z += sums[where[:, quarter]]
                 cosine = z @ latent / np.sqrt(energy[e] - energy[s])[:, None]
                 for i, j in zip(*np.nonzero(cosine >= LEAST_COSINE), strict=True):
                     item, c, x, mine = items[j], float(cosine[i, j]), d[i], out[d[i]]
