@@ -8,13 +8,17 @@ at its host's winning path. A page where that path has no text uses its own best
 container.
 
 Dropped everywhere: navigation, headers outside the article, footers, asides,
-forms, scripts, styles, hidden parts, and elements whose class, id or role names
-them as menu, sidebar, notice, advert or reader comments.
+forms, scripts, styles, hidden parts, and elements that a class, id or role names
+as menu, sidebar, notice, advert or reader comments. A class or id names an element
+so if all its words do or are neutral ("sidebar-left", but not "with-sidebar" or
+"layout-sidebar-right"), and, but for comments, if the element holds less than half
+of the page's text.
 
 Defined results: null or empty html gives empty text; broken markup (open tags, a
-page that stops in the middle) is read as far as it goes; a null url is a host of
-its own; rows may repeat; an empty table gives no rows; input columns named text,
-n_chars or host are replaced.
+page that stops in the middle) is read as far as it goes, in time linear in its
+length, at any depth; a null url is a host of
+its own; rows may repeat; an empty table gives no rows; input columns named text and n_chars
+are replaced, all others kept.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut
+from .common import bounded_batches, cut, fresh
 
 #: Up to so many hosts (each with a path's depth and hash) the winners are broadcast; beyond, they are joined with salt.
 BROADCAST_HOSTS, SALTS = 20_000, 16
@@ -40,23 +44,36 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CONTAINERS = {"body", "div", "article", "section", "main", "td", "center", "blockquote", "html"}
 DROPPED = {"nav", "footer", "aside", "form", "button", "select", "object", "canvas", "menu", "dialog", "head", "audio", "video"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
-NOISE = {"nav", "navbar", "menu", "menus", "header", "masthead", "footer", "sidebar", "aside", "breadcrumb", "breadcrumbs", "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "comment", "comments", "commentlist", "disqus", "reply", "replies", "pagination", "pager", "toolbar", "widget", "copyright", "legal", "disclaimer"}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
+NOISE = COMMENTS | {"nav", "navbar", "navigation", "menu", "menus", "header", "masthead", "footer", "sidebar", "aside", "breadcrumb", "breadcrumbs", "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "popup", "modal", "newsletter", "subscribe", "subscription", "share", "sharing", "social", "related", "recommended", "recommendations", "pagination", "pager", "toolbar", "widget", "widgets", "copyright", "disclaimer"}
+#: Words beside which a noise word still names the element.
+NEUTRAL = {"site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "local", "sub", "box", "block", "list", "item", "items", "area", "bar", "inner", "outer", "wrap", "wrapper", "container", "section", "slot", "unit", "panel", "links", "link", "buttons", "button", "icons", "form", "user", "reader", "post", "posts", "text", "title", "body", "head", "row", "col", "group", "module", "js", "the", "new", "google", "small", "large", "fixed", "sticky", "mobile", "desktop"}
+#: An element with this share of a page's text is not dropped for its class or id.
+MOST = 0.5
 #: An open element that a new one of the same group ends.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z|<[a-zA-Z][^>]*>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)/?>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z|<[a-zA-Z][^>]*>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
 
+def names_noise(token: str) -> set[str]:
+    """The noise words of a class or id that consists of such and neutral words only."""
+    words = {w.lower() for w in _NAME.findall(token)}
+    return words & NOISE if words <= NOISE | NEUTRAL else set()
+
+
 class Page:
-    """Elements that hold blocks, and the blocks of text in page order."""
+    """Elements that hold blocks (parents before children), and the blocks of text in page order."""
 
     def __init__(self, html: str):
         # a path is its depth and a hash of the parent's path and the step
-        self.parent, self.path, self.is_container, self.dropped, self.tag = [-1], ["000000"], [True], [False], [""]
+        self.parent, self.path, self.is_container, self.tag = [-1], ["000000"], [True], [""]
+        self.dropped, self.named, self.in_article = [False], [""], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, of which in links
         self.read(html)
+        self.drop_named()
 
     def open(self, up: int, tag: str, attrs: str) -> int:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)} if attrs else {}
@@ -69,20 +86,39 @@ class Page:
         self.path.append(f"{int(above[:6]) + 1:06d}" + hashlib.blake2b(f"{above}>{step}".encode("utf-8", "replace"), digest_size=16).hexdigest())
         self.is_container.append(tag in CONTAINERS)
         self.tag.append(tag)
-        drop = self.dropped[up] or tag in DROPPED
-        if not drop and tag == "header":
-            i = up
-            while i > 0 and self.tag[i] not in ("article", "main"):
-                i = self.parent[i]
-            drop = i <= 0
-        if not drop and found and tag not in ("html", "body", "article", "main"):
-            words = {w.lower() for w in _NAME.findall(f"{names} {found.get('id', '')}")}
-            drop = bool(words & NOISE) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.in_article.append(self.in_article[up] or tag in ("article", "main"))
+        drop, name = self.dropped[up] or tag in DROPPED or (tag == "header" and not self.in_article[up]), ""
+        if not drop and found:
+            drop = found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
+            if tag not in ("html", "body", "article", "main"):
+                noise = set().union(*map(names_noise, (*first, found.get("id", ""))))
+                name = "comments" if noise & COMMENTS else "noise" if noise else ""
         self.dropped.append(drop)
+        self.named.append(name)
         return len(self.parent) - 1
 
+    def sums(self, value) -> list[float]:
+        """Of each element, value(text, links) of the blocks in it that are not dropped."""
+        out = [0.0] * len(self.parent)
+        for at, text, links in self.blocks:
+            if not self.dropped[at]:
+                out[at] += value(at, text, links)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+    def drop_named(self) -> None:
+        """Drop the elements that a class or id names as noise, and all in them."""
+        if any(self.named):
+            held = self.sums(lambda at, text, links: max(0, len(text) - links))
+            for i in range(1, len(self.parent)):
+                noise = self.named[i] == "comments" or (self.named[i] and held[i] < MOST * held[0])
+                self.dropped[i] = self.dropped[i] or self.dropped[self.parent[i]] or bool(noise)
+
     def read(self, html: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]  # inline elements have the number of the element around them
+        # open elements that are not inline: tag, number, the inline ones opened in it, and how many of each tag
+        stack: list[tuple[str, int, list[str], dict[str, int]]] = [("", 0, [], {})]
+        opened: dict[str, int] = {}
         buf: list[str] = []
         in_link, link_chars, pos, n = 0, 0, 0, len(html)
 
@@ -95,6 +131,13 @@ class Page:
                 buf.clear()
             link_chars = 0
 
+        def close() -> str:
+            nonlocal in_link
+            tag, _, _, counts = stack.pop()
+            opened[tag] -= 1
+            in_link -= counts.get("a", 0)
+            return tag
+
         while pos < n:
             m = _TOKEN.match(html, pos)
             pos = m.end()
@@ -108,34 +151,34 @@ class Page:
                         flush()
                     continue
                 if tag in RAW:
-                    close = re.compile(rf"</{tag}[^>]*>", re.I).search(html, pos)
-                    pos = close.end() if close else n
+                    close_tag = re.compile(rf"</{tag}[^>]*>", re.I).search(html, pos)
+                    pos = close_tag.end() if close_tag else n
                     continue
                 if tag in INLINE:
                     in_link += tag == "a"
-                    stack.append((tag, stack[-1][1]))
+                    stack[-1][2].append(tag)
+                    stack[-1][3][tag] = stack[-1][3].get(tag, 0) + 1
                     continue
                 flush()
                 shut = CLOSES.get(tag, {"p"})
-                for k in range(len(stack) - 1, 0, -1):
-                    t = stack[k][0]
-                    if t in shut:
-                        in_link -= sum(x == "a" for x, _ in stack[k:])
-                        del stack[k:]
-                    elif t not in INLINE:
-                        break
-                stack.append((tag, self.open(stack[-1][1], tag, m[2])))
+                while stack[-1][0] in shut:
+                    close()
+                stack.append((tag, self.open(stack[-1][1], tag, m[2]), [], {}))
+                opened[tag] = opened.get(tag, 0) + 1
             elif end:
                 end = end.lower()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == end:
-                        if end not in INLINE:
-                            flush()
-                        in_link -= sum(x == "a" for x, _ in stack[k:])
-                        del stack[k:]
-                        break
-                    if end in INLINE and stack[k][0] not in INLINE:
-                        break
+                if end in INLINE:
+                    inline, counts = stack[-1][2:]
+                    while counts.get(end):
+                        last = inline.pop()
+                        counts[last] -= 1
+                        in_link -= last == "a"
+                        if last == end:
+                            break
+                elif opened.get(end):
+                    flush()
+                    while close() != end:
+                        pass
             elif (text := m[0])[0] != "<" or text == "<":
                 if "&" in text:
                     text = unescape(text)
@@ -149,30 +192,26 @@ class Page:
 
         From the container with the highest score (text of its blocks less their links, and half of the containers in it): the outermost article around it, else the outermost main, else the next container that holds nearly all the page's text, every h1, and not only containers unless it is the body.
         """
+        whole = self.sums(lambda at, text, links: max(0, len(text) - 2 * links))
+        heads = self.sums(lambda at, text, links: self.tag[at] == "h1" and len(text) > 2 * links)
+        if not whole[0]:
+            return -1, 0.0
+        # of each element the container that it is or is in
+        container = [0] * len(self.parent)
+        for i in range(1, len(container)):
+            container[i] = i if self.is_container[i] else container[self.parent[i]]
         score: dict[int, float] = {}
-        whole: dict[int, float] = {}  # undiminished, of each element
-        heads: dict[int, int] = {}
         own: set[int] = set()  # containers with blocks outside inner containers
         for at, text, links in self.blocks:
             if self.dropped[at] or (value := len(text) - 2 * links) <= 0:
                 continue
-            up, head = at, self.tag[at] == "h1"
-            while up >= 0:
-                whole[up] = whole.get(up, 0) + value
-                heads[up] = heads.get(up, 0) + head
-                up = self.parent[up]
-            while at > 0 and not self.is_container[at]:
-                at = self.parent[at]
+            at = container[at]
             if self.tag[at] not in ("", "html", "body"):
                 own.add(at)
             score[at] = score.get(at, 0) + value
-            up = self.parent[at]
-            while up > 0 and not self.is_container[up]:
-                up = self.parent[up]
-            if up >= 0:
+            if at:
+                up = container[self.parent[at]]
                 score[up] = score.get(up, 0) + value / 2
-        if not score:
-            return -1, 0.0
         at = max(score.items(), key=lambda x: (x[1], -x[0]))[0]
         around = [at]
         while around[-1] > 0:
@@ -189,14 +228,10 @@ class Page:
 
     def text(self, inside) -> str:
         """Blocks that inside(element) or an element around it holds for."""
-        known: dict[int, bool] = {-1: False}
-
-        def holds(i: int) -> bool:
-            if i not in known:
-                known[i] = inside(i) or holds(self.parent[i])
-            return known[i]
-
-        return "\n".join(text for at, text, _ in self.blocks if not self.dropped[at] and holds(at))
+        holds = [inside(0)]
+        for i in range(1, len(self.parent)):
+            holds.append(holds[self.parent[i]] or inside(i))
+        return "\n".join(text for at, text, _ in self.blocks if holds[at] and not self.dropped[at])
 
 
 def _extract(html: str, path: str | None) -> str:
@@ -236,14 +271,15 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     """pages without html, with text and n_chars."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    winners = cut(votes(pages, url, html).select(F.col("host").alias("_host"), F.col("path").alias("_path")))
-    keyed = pages.drop("text", "n_chars", "_host", "_path").withColumn("_host", _host(url))
+    host, path, salt = fresh(pages, "host", "path", "salt")
+    winners = cut(votes(pages, url, html).select(F.col("host").alias(host), F.col("path").alias(path)))
+    kept = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")]
+    keyed = pages.select(*[F.col(f.name) for f in kept], html, _host(url).alias(host))
     if winners.count() <= BROADCAST_HOSTS:
-        joined = keyed.join(F.broadcast(winners), "_host", "left")
+        joined = keyed.join(F.broadcast(winners), host, "left")
     else:
-        salted = winners.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = keyed.withColumn("_salt", F.pmod(F.xxhash64(html, url), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
-    kept = [f for f in pages.schema.fields if f.name not in (html, "text", "n_chars")]
+        salted = winners.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = keyed.withColumn(salt, F.pmod(F.xxhash64(html, url), F.lit(SALTS)).cast("int")).join(salted, [host, salt], "left")
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
@@ -255,4 +291,4 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
             columns = [batch.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return joined.select(*[f.name for f in kept], html, "_path").mapInArrow(run, schema)
+    return joined.select(*[f.name for f in kept], html, path).mapInArrow(run, schema)
