@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import cut
 
 #: Lengths are summed in blocks of so many, then the blocks, so that no window spans the whole histogram.
 BLOCK = 512
@@ -27,8 +28,11 @@ def length_histogram(df: DataFrame, ranks: str, text: str = "text") -> DataFrame
 
 
 def context_limits(histogram: DataFrame) -> DataFrame:
-    """For each distinct length as context limit: docs, docs_ge, tokens_ge, total_tokens, truncated_tokens, share_le."""
-    h = histogram.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("docs"))
+    """For each distinct length as context limit: docs, docs_ge, tokens_ge, total_tokens, truncated_tokens, share_le.
+
+    The histogram, a row for each distinct length, is written down, as two sides of a join read it.
+    """
+    h = cut(histogram).withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("docs"))
     blocks = h.groupBy("block").agg(F.sum("docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("docs_after", F.coalesce(F.sum("block_docs").over(later), F.lit(0))).withColumn("tokens_after", F.coalesce(F.sum("block_tokens").over(later), F.lit(0)))

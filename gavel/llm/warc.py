@@ -162,19 +162,22 @@ def _arrow():
 
 
 def reachable(nodes: DataFrame) -> DataFrame:
-    """Of (file, at, next), the (file, at) on the chain from offset 0: after k rounds, all within 2^k steps of it."""
+    """Of (file, at, next), a table of its own, the (file, at) on the chain from offset 0: after k rounds, all within 2^k steps of it. Both sides of each join grow with the archives, so neither is broadcast."""
     jumps = nodes.filter("next IS NOT NULL").select("file", "at", "next")
     reached = cut(nodes.filter("at = 0").select("file", "at"))
-    count = reached.count()
+    count, there = reached.count(), nodes.select("file", "at")
     while True:
-        step = reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
-        grown = cut(reached.union(step.join(nodes.select("file", "at"), ["file", "at"], "left_semi")).distinct())
+        step = reached.join(jumps.hint("merge"), ["file", "at"]).select("file", F.col("next").alias("at"))
+        grown = cut(reached.union(step.join(there.hint("merge"), ["file", "at"], "left_semi")).distinct())
         drop(reached)
         reached, before, count = grown, count, grown.count()
         if count == before:
+            drop(jumps)
             return reached
-        second = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("_far"))
-        jumps = cut(jumps.join(second, ["file", "next"]).select("file", "at", F.col("_far").alias("next")))
+        second = jumps.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
+        doubled = cut(jumps.join(second.hint("merge"), ["file", "next"]).select("file", "at", F.col("far").alias("next")))
+        drop(jumps)
+        jumps = doubled
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -182,9 +185,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     nodes = cut(candidates(spark, path))
     bounded_batches(spark)
     reached = reachable(nodes)
-    if broken := nodes.filter("next IS NULL").join(reached, ["file", "at"], "left_anti").first():
+    if broken := nodes.filter("next IS NULL").join(reached.hint("merge"), ["file", "at"], "left_anti").first():
         raise ValueError(f"the records of {broken.file} do not reach its end, {broken.at}")
-    return nodes.filter("next IS NOT NULL").join(reached, ["file", "at"], "left_semi").drop("next")
+    return nodes.filter("next IS NOT NULL").join(reached.hint("merge"), ["file", "at"], "left_semi").drop("next")
 
 
 def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
