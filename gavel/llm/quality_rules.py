@@ -102,15 +102,26 @@ def verdict(measured: DataFrame, reference: DataFrame) -> DataFrame:
     return d.select(*[c for c in measured.columns if not c.startswith("_")], *MADE[6:])
 
 
-def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """df with the base counts, base_failed, class_distance, word_distance and kept.
+def _judged(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """row (the input row as one struct, so no name of it clashes), the measures and the verdict.
 
     The measured rows are written down: one scan serves references and verdicts, and a filter on kept is not pushed into the measures, where it would repeat them.
     """
-    measured = cut(measure(df, text, lang))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    measured = cut(measure(rows).drop("text", "lang"))
     return verdict(measured, references(measured))
 
 
+def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """df with the base counts, base_failed, class_distance, word_distance and kept, which replace columns of these names."""
+    return _judged(df, text, lang).select(*[F.col("row").getField(c).alias(c) for c in df.columns if c not in MADE], *MADE)
+
+
+def keep(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of df that the rules keep, all their columns as they are."""
+    return _judged(df, text, lang).filter("kept").select(*[F.col("row").getField(c).alias(c) for c in df.columns])
+
+
 def judge_keys(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The same for each row's key alone; what is written down is narrow."""
     narrow = cut(measure(df.select(key, text, lang), text, lang).drop(text, lang))

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, bounded_batches, cut, groups, mix, sequence_digest, signed, words_of
+from .common import NARROW_ROWS, as_bytes, bounded_batches, cut, drop, fresh, groups, hot_keys, mix, sequence_digest, signed, spread_join, words_of
 
 WINDOW = 50
 ROUNDS, GRAM, GRAMS = 3, 3, 9
@@ -185,14 +185,20 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Dat
     known = every.filter("id IS NOT NULL")
     reps = cut(known.filter(f"n_words >= {WINDOW}").groupBy("n_words", "d1", "d2").agg(F.min("id").alias("rep")))
     spread = known.select("id", "d1", F.explode("anchors").alias("anchor"))
-    shared = spread.groupBy("anchor").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("lo <> hi").select("anchor")
+    shared = cut(spread.groupBy("anchor").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("anchor", "n"))
     rep_ids = reps.select(F.col("rep").alias("id")).distinct()
-    hits = spread.select("id", "anchor").join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("shared")).join(rep_ids, "id", "left_semi")
+    # anchors and windows that very many texts hold go to several tasks
+    hits = spread_join(spread.select("id", "anchor"), shared.select("anchor"), "anchor", "id", hot_keys(shared, "anchor", NARROW_ROWS, counts=shared))
+    hits = hits.groupBy("id").agg(F.collect_set("anchor").alias("shared")).join(rep_ids, "id", "left_semi")
     candidates = cut(docs.join(hits, "id").dropDuplicates(["id"]))
     windows = cut(_windows(candidates))
-    firsts = windows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("print", "first")
-    starts = windows.join(firsts, "print").filter("id > first").groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("starts"))
-    rows = every.select("id", "n_words", "sha", "d1", "d2").join(reps, ["n_words", "d1", "d2"], "left").select("id", "n_words", "sha", F.coalesce(F.col("id") > F.col("rep"), F.lit(False)).alias("whole"))
+    firsts = cut(windows.groupBy("print").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count("*").alias("n")).filter("first < last").select("print", "first", "n"))
+    later = spread_join(windows, firsts.select("print", "first"), "print", "id", hot_keys(firsts, "print", NARROW_ROWS, counts=firsts)).filter("id > first")
+    starts = cut(later.groupBy("id").agg(F.sort_array(F.collect_set("at")).alias("starts")))
+    drop(shared, windows, firsts)
+    keyed = every.select("id", "n_words", "sha", "d1", "d2")
+    same = ["n_words", "d1", "d2"]
+    rows = spread_join(keyed, reps, same, "id", hot_keys(keyed, same, NARROW_ROWS), "left").select("id", "n_words", "sha", F.coalesce(F.col("id") > F.col("rep"), F.lit(False)).alias("whole"))
     return rows, starts, candidates.select("id", "text")
 
 
@@ -231,8 +237,9 @@ def digest(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the repeated words taken out; a text that loses some becomes its kept words joined by one space, others stay as they are."""
     rows, starts, _ = repeats(df, key, text)
-    change = rows.filter("whole AND id IS NOT NULL").select("id").distinct().withColumn("_whole", F.lit(True)).join(starts, "id", "full").withColumnsRenamed({"id": "_id", "starts": "_starts"})
-    joined = df.join(change, F.col(key).cast("long") == F.col("_id"), "left").drop("_id")
+    own, gone, at = fresh(df, "id", "whole", "starts")
+    change = rows.filter("whole AND id IS NOT NULL").select("id").distinct().withColumn("whole", F.lit(True)).join(starts, "id", "full").toDF(own, gone, at)
+    joined = df.join(change, F.col(key).cast("long") == F.col(own), "left").drop(own)
     names = df.columns
     place = names.index(text)
 
@@ -250,4 +257,4 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             columns = [pa.array(texts, batch.schema.field(j).type) if j == place else batch.column(j) for j in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*names, "_whole", "_starts").mapInArrow(run, df.schema)
+    return joined.select(*[F.col(f"`{c}`") for c in names], gone, at).mapInArrow(run, df.schema)
