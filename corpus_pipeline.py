@@ -18,29 +18,47 @@ from gavel.llm.queries import ranks_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.judge(docs).filter("kept").select(*docs.columns)
+    """Documents that the quality rules keep, all columns unchanged.
+
+    A null or empty text goes (it has fewer than ten words), so does any other that fails; of equal rows all stay or go; a null doc_id or source is no matter, a null lang is compared with all languages together; an empty table gives none.
+    """
+    return quality_rules.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least doc_id."""
-    kept = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of near-duplicates, the one with the least doc_id, all columns unchanged.
+
+    Texts without words and rows without doc_id stay; rows that repeat a doc_id stay or go together; an empty table gives none.
+    """
+    (gone,) = common.fresh(docs, "gone")
+    dropped = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of passages that begin in an earlier document too."""
+    """Documents without the words of passages that begin in an earlier document too; n_chars, if there, follows the text, other columns are unchanged.
+
+    Null and short texts and rows without doc_id stay as they are; a text that goes whole becomes empty and its row stays; an empty table gives none.
+    """
     out = substring_dedup.remove_repeats(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), "n_chars").cast(docs.schema["n_chars"].dataType))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, all columns unchanged.
+
+    Null and empty texts hold none and stay; each of equal rows is judged alike; an empty table gives none.
+    """
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, as token ids: doc_id, lang, source, n_tokens and ids."""
+    """What is left, as token ids: doc_id, lang, source, n_tokens and ids, a row for each document.
+
+    A null or empty text has no ids; nulls in other columns stay; other columns are left out; an empty table gives none.
+    """
     encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks_path(), offsets=None)
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
@@ -55,6 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        out = stage(spark, docs, sf_dir)
+        with common.released_shuffles(spark):
+            out.write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
