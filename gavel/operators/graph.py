@@ -6,17 +6,23 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a session in one process, as in tests, gets a folder of its own where none is set, on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (folder or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))).rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder (spark.checkpoint.dir, or one of our own where none is set), so that lineage ends there."""
-    context = df.sparkSession.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))
-    path = f"{folder.rstrip('/')}/step-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, so that lineage ends there."""
+    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -64,6 +64,12 @@ class Tables:
         return found
 
 
+def from_sql(t: Tables, sql: str) -> DataFrame:
+    """A DataFrame by SQL that both engines share; names of tables in braces are views or base tables."""
+    sql = _macro(sql, 0)
+    return t._spark.sql(sql, **{n: getattr(t, n) for n in (*BASE, *VIEWS) if "{" + n + "}" in sql})
+
+
 def twin(body: str) -> str:
     """DuckDB SQL: the views that body needs, then body. Names of tables in braces are views or base tables."""
     needed: list[str] = []
