@@ -20,6 +20,7 @@ PIECE_BYTES = 4 << 20
 NARROW_ROWS, WIDE_ROWS, BLOCK_ROWS, SHARE = 10_000, 500, 8, 1000
 
 _own_dirs: dict[str, str] = {}
+_scratch: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,9 +56,23 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._cut_path = path
+    for made in _scratch:
+        made.append(again)
     return again
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that cut() writes within are deleted at the end, when what they were for is written."""
+    made: list[DataFrame] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.remove(made)
+        drop(*made)
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete tables that cut() wrote and that nothing reads any more."""
     for df in tables:

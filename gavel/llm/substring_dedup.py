@@ -238,7 +238,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """df with the repeated words taken out; a text that loses some becomes its kept words joined by one space, others stay as they are."""
     rows, starts, _ = repeats(df, key, text)
     own, gone, at = fresh(df, "id", "whole", "starts")
-    change = rows.filter("whole AND id IS NOT NULL").select("id").distinct().withColumn("whole", F.lit(True)).join(starts, "id", "full").toDF(own, gone, at)
+    # written down, so that the join with the texts knows how small it is
+    change = cut(rows.filter("whole AND id IS NOT NULL").select("id").distinct().withColumn("whole", F.lit(True)).join(starts, "id", "full")).toDF(own, gone, at)
     joined = df.join(change, F.col(key).cast("long") == F.col(own), "left").drop(own)
     names = df.columns
     place = names.index(text)

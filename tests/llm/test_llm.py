@@ -436,3 +436,61 @@ def test_pipeline_equals_brute_force_stages(spark, tmp_path):
     assert set(found) == set(left)
     for i, t in left.items():
         assert found[i].ids == encoder().encode_ordinary(t)
+
+
+def article(n, seed=5):
+    return text(random.Random(seed), n)
+
+
+def main_text(spark, *htmls):
+    rows = [(i, f"https://h{i}.example/a", h) for i, h in enumerate(htmls)]
+    found = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r.page_id: r.text for r in found}
+
+
+def test_html_layout_classes_are_no_noise_and_sidebars_are(spark):
+    one, two = article(60), article(50, 6)
+    classes = ["content with-sidebar", "has-header", "no-sidebar page", "layout-sidebar-right", "widget"]
+    pages = [f"<body><div class='site-menu'>Home News</div><div class='{c}'><h1>Head</h1><p>{one}</p><p>{two}</p></div><div class='sidebar-left'>aside words</div></body>" for c in classes]
+    pages.append(f"<body><article><p>{one}</p></article><div id='comments'><p>{two} {two} {two} {two}</p></div></body>")
+    pages.append(f"<body><article><section class='a'><p>{one}</p></section><section class='b'><p>{two}</p></section></article></body>")
+    found = main_text(spark, *pages)
+    for i in range(len(classes)):
+        assert found[i] == f"Head\n{one}\n{two}", classes[i]
+    assert found[5] == one
+    assert found[6] == f"{one}\n{two}"
+
+
+def test_html_of_any_depth_in_linear_time(spark):
+    body = article(80)
+    deep = "<div>" * 3000 + f"<p>{body}</p>" + "</div>" * 3000
+    hostile = "<i><p>" + "<b>" * 20000 + "</i>" * 20000 + body
+    headers = "<header>" * 5000 + f"</header><article><p>{body}</p></article>"
+    found = main_text(spark, deep, hostile, headers)
+    assert found[0] == body and found[1] == body
+
+
+def test_html_keeps_clashing_columns(spark):
+    rows = [(None, None, "<article><p>some words here</p></article>", "x", "y", 1)]
+    r = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, _host string, path string, salt int")).first()
+    assert (r.text, r["_host"], r.path, r.salt, r.page_id) == ("some words here", "x", "y", 1, None)
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    passage = text(rng, 60)
+    texts = [f"{text(rng, 90)} {passage}" for _ in range(4)] + [None, ""]
+    odd = {"_id": 7, "_gone": 8, "_starts": 9, "_whole": 10, "n_words": 11, "kept": 12, "row": 13, "_w": 14, "gone": 15}
+    rows = [(i, t, "en" if i else None, "s", *odd.values()) for i, t in enumerate(texts)] + [(None, texts[0], "en", "s", *odd.values()), (0, texts[0], None, "s", *odd.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` long" for c in odd))
+    spark.createDataFrame([(1, "no such words in any of the texts at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(tuple(r[c] for c in odd) == tuple(odd.values()) for r in kept), name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    out = {r.doc_id: r.text for r in corpus_pipeline.substrings(spark, docs, str(tmp_path)).collect()}
+    assert out[1] == " ".join(texts[1].split()[:90]) and out[4] is None
