@@ -31,7 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words and rows without doc_id stay; rows that repeat a doc_id stay or go together; an empty table gives none.
     """
     (gone,) = common.fresh(docs, "gone")
-    dropped = near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    # written down, so that the join with the texts knows how small it is
+    dropped = common.cut(near_dedup.near_duplicates(docs).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct())
     return docs.join(dropped, F.col("doc_id") == F.col(gone), "left_anti")
 
 
@@ -73,8 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        with common.released_shuffles(spark):
-            out.write.parquet(f"{folder}/{k}")
+        with common.scratch(), common.released_shuffles(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
