@@ -58,7 +58,7 @@ def x26_roll_calls(t):
 
 @query()
 def x4_chunks(t):
-    return t.documents.select("doc_id", F.posexplode(agenda_text.chunks(F.col("text"), 400)).alias("chunk_no", "chunk"))
+    return t.documents.select("doc_id", F.posexplode(agenda_text.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
 @query("SELECT round(sum(CASE WHEN event_type = 'click' AND user_id = 5 THEN round(value, 2) ELSE 0 END), 6) AS total FROM {events}")

@@ -56,16 +56,16 @@ def u4_reconcile_roster(t):
     return people.reconcile_roster(p, snapshot, ["id"], ["name", "client"])
 
 
-STAGED = "(SELECT l_orderkey * 100 + min(l_linenumber) AS id, l_orderkey + CASE WHEN l_orderkey % 9 = 0 THEN 100000000 ELSE 0 END AS o, l_partkey AS h FROM {lineitem} WHERE l_orderkey % 5 = 0 GROUP BY l_orderkey, l_partkey)"
+STAGED = "(SELECT l_orderkey * 100 + min(l_linenumber) AS id, l_orderkey + CASE WHEN l_orderkey % 9 = 0 THEN 100000000 ELSE 0 END AS o, l_partkey AS h FROM {lineitem} GROUP BY l_orderkey, l_partkey)"
 
 
 @query("WITH s AS " + STAGED + ", e AS (SELECT s.id, s.h, v.first AS event_id FROM s LEFT JOIN {event} x ON x.id = s.o + 1 LEFT JOIN (SELECT ocd_division_id, record_date, name, min(id) AS first FROM {event} y GROUP BY 1, 2, 3) v ON v.ocd_division_id = x.ocd_division_id AND v.record_date = x.record_date AND v.name = x.name), f AS (SELECT e.*, c.id AS catalog_id, row_number() OVER (PARTITION BY h, e.event_id IS NULL ORDER BY e.id) AS nth, row_number() OVER (PARTITION BY h, e.event_id ORDER BY e.id) AS again FROM e LEFT JOIN (SELECT id FROM {catalog} k WHERE id % 2 = 0) c ON c.id = e.h + 1) SELECT f.id, CASE WHEN f.event_id IS NULL THEN 'no_event' WHEN again > 1 OR EXISTS (SELECT 1 FROM {document} d WHERE d.event_id = f.event_id AND d.catalog_id = f.catalog_id AND d.id % 3 = 0) THEN 'known' WHEN f.catalog_id IS NOT NULL OR nth > 1 THEN 'linked' ELSE 'new' END AS outcome FROM f")
 def j9_link_staged_urls(t):
-    staged = t.lineitem.filter("l_orderkey % 5 = 0").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n")).select((F.col("l_orderkey") * 100 + F.col("n")).alias("id"), (F.col("l_orderkey") + F.when(F.col("l_orderkey") % 9 == 0, 100000000).otherwise(0) + 1).alias("o"), F.col("l_partkey").cast("string").alias("url_hash"))
+    staged = t.lineitem.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n")).select((F.col("l_orderkey") * 100 + F.col("n")).alias("id"), (F.col("l_orderkey") + F.when(F.col("l_orderkey") % 9 == 0, 100000000).otherwise(0) + 1).alias("o"), F.col("l_partkey").cast("string").alias("url_hash"))
     own = t.event.select(F.col("id").alias("o"), "ocd_division_id", "record_date", "name")
     staged = staged.join(own, "o", "left").select("id", "url_hash", "ocd_division_id", "record_date", "name")
-    catalog = t.catalog.filter("id % 2 = 0").select("id", (F.col("id") - 1).cast("string").alias("url_hash"))
-    return people.link_staged_urls(staged, t.event, catalog, t.document.filter("id % 3 = 0"))
+    catalog = t.catalog.select("id", F.when(F.col("id") % 2 == 0, (F.col("id") - 1).cast("string")).otherwise(F.concat(F.lit("other "), F.col("id").cast("string"))).alias("url_hash"))
+    return people.link_staged_urls(staged, t.event, catalog, t.document.withColumn("event_id", F.when(F.col("id") % 3 == 0, F.col("event_id")).otherwise(-F.col("event_id"))))
 
 
 @query("SELECT c.id AS catalog_id, CASE WHEN e.vec_id IS NULL THEN 'missing' WHEN e.vec_id % 2 = 0 THEN 'fresh' ELSE 'stale' END AS state FROM {catalog} c LEFT JOIN {embeddings} e ON e.vec_id + 1 = c.id WHERE coalesce(c.summary, '') <> ''")
@@ -107,8 +107,11 @@ def m2_phase_buckets(t):
     return d.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "phase", F.when(F.col("le") == float("inf"), -1.0).otherwise(F.col("le")).alias("le"), "n")
 
 
-@query("SELECT d.event_id AS task_id, f.event_id IS NOT NULL AS finished FROM {events} d LEFT JOIN {events} f ON f.event_id = d.event_id AND f.event_id % 4 <> 0 WHERE d.event_id % 3 = 0")
+@query("SELECT event_id AS task_id, event_id % 5 NOT IN (0, 1, 2) AS finished FROM {events}")
 def m3_paired(t):
     e = t.events.select(F.col("event_id").alias("task_id"), F.lit(0).alias("retry"), "ts")
-    d = jobs.paired(e.filter("task_id % 3 = 0"), e.filter("task_id % 4 <> 0").withColumn("ts", F.col("ts") + F.expr("INTERVAL 5 MINUTES")))
+    k = F.col("task_id") % 5
+    # another retry's end, an end before the dispatch, one after the timeout, or one in time
+    ends = e.select("task_id", F.when(k == 0, 1).otherwise(0).alias("retry"), F.when(k == 1, F.col("ts") - F.expr("INTERVAL 1 MINUTE")).when(k == 2, F.col("ts") + F.expr("INTERVAL 90 MINUTES")).otherwise(F.col("ts") + F.expr("INTERVAL 5 MINUTES")).alias("ts"))
+    d = jobs.paired(e, ends)
     return d.select("task_id", F.col("finished_at").isNotNull().alias("finished"))

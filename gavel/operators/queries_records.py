@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gavel.functions import text as X
 from gavel.operators import records, runs
 from gavel.operators.queries_search import KIND, NOISE
-from gavel.plans.bridge import Tables, twin
+from gavel.plans.bridge import Tables, from_sql, twin
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -74,10 +74,10 @@ def f8_summary_state(t):
     return records.derived_status(t.catalog, t.document, t.agenda_item).select("catalog_id", "kind", "items", "summary_state", "simple_state")
 
 
-@query("SELECT kind, " + STATE.format("expected") + " AS summary_state, count(*) AS n, count(*) FILTER (items = 0) AS without_items FROM " + STATUS + " s GROUP BY 1, 2")
+@query("SELECT catalog_id, kind, items, " + STATE.format("expected") + " AS summary_state FROM " + STATUS + " s")
 def f9_derived_status(t):
     d = records.derived_status(t.catalog, t.document, t.agenda_item)
-    return d.groupBy("kind", "summary_state").agg(F.count("*").alias("n"), F.count_if(F.col("items") == 0).alias("without_items"))
+    return d.select("catalog_id", "kind", "items", "summary_state")
 
 
 @query("SELECT DISTINCT id FROM {catalog} c WHERE coalesce(content, '') <> '' AND " + STATE.format("content_hash") + " <> 'fresh' AND id > 20 AND EXISTS (SELECT 1 FROM {document} d WHERE d.catalog_id = c.id) ORDER BY id LIMIT 100")
@@ -154,30 +154,34 @@ def u1_promote(t):
     return records.promote(t.event_stage, t.event, t.place).select("id", "outcome")
 
 
-@query("WITH s AS (SELECT ocd_division_id AS d, CASE WHEN id % 2 = 0 THEN name ELSE concat(name, ' city') END AS n, state AS s FROM {place} WHERE id % 3 = 0 UNION ALL SELECT concat('ocd-division/place:', CAST(id AS VARCHAR)), name, 'XX' FROM {place} WHERE id % 5 = 0) SELECT coalesce(s.d, p.ocd_division_id) AS ocd_division_id, coalesce(s.n, p.name) AS name, coalesce(s.s, p.state) AS state, CASE WHEN s.d IS NOT NULL THEN replace(replace(s.n, ' ', ''), '_', '') END AS client, CASE WHEN p.id IS NULL THEN 'insert' WHEN s.d IS NULL THEN 'keep' WHEN p.name = s.n AND p.state = s.s THEN 'same' ELSE 'update' END AS change FROM {place} p FULL JOIN s ON s.d = p.ocd_division_id")
+@query("WITH s AS (SELECT CASE WHEN id % 5 = 0 THEN concat('ocd-division/place:', CAST(id AS VARCHAR)) ELSE ocd_division_id END AS d, CASE WHEN id % 2 = 0 THEN name ELSE concat(name, ' city') END AS n, CASE WHEN id % 5 = 0 THEN 'XX' ELSE state END AS s FROM {place}) SELECT coalesce(s.d, p.ocd_division_id) AS ocd_division_id, coalesce(s.n, p.name) AS name, coalesce(s.s, p.state) AS state, CASE WHEN s.d IS NOT NULL THEN replace(replace(s.n, ' ', ''), '_', '') END AS client, CASE WHEN p.id IS NULL THEN 'insert' WHEN s.d IS NULL THEN 'keep' WHEN p.name = s.n AND p.state = s.s THEN 'same' ELSE 'update' END AS change FROM {place} p FULL JOIN s ON s.d = p.ocd_division_id")
 def u2_upsert_places(t):
     p = t.place
-    seeds = p.filter("id % 3 = 0").select("ocd_division_id", F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit(" city"))).alias("name"), "state")
-    seeds = seeds.union(p.filter("id % 5 = 0").select(F.concat(F.lit("ocd-division/place:"), F.col("id").cast("string")), "name", F.lit("XX")))
+    new = F.col("id") % 5 == 0
+    seeds = p.select(F.when(new, F.concat(F.lit("ocd-division/place:"), F.col("id").cast("string"))).otherwise(F.col("ocd_division_id")).alias("ocd_division_id"), F.when(F.col("id") % 2 == 0, F.col("name")).otherwise(F.concat("name", F.lit(" city"))).alias("name"), F.when(new, "XX").otherwise(F.col("state")).alias("state"))
     seeds = seeds.withColumn("hosting", F.lit("Legistar")).withColumn("url", F.concat(F.lit("https://"), F.translate("name", " _", ""), F.lit(".legistar.com/Calendar.aspx")))
     return records.upsert_places(p, seeds)
 
 
-@query("SELECT e.id, CASE WHEN lower(meeting_type) LIKE '%planning commission%' OR lower(meeting_type) LIKE '%planning board%' THEN 'Planning Commission' WHEN lower(meeting_type) LIKE '%parks%' THEN 'Parks Commission' ELSE 'City Council' END AS body, CAST(NULL AS BIGINT) AS body_id, organization_id IS NOT NULL AS changed FROM {event} e")
+BODIES = "(SELECT id, place_id, CASE name WHEN 'BUILDING' THEN 'City Council' WHEN 'MACHINERY' THEN 'Planning Commission' WHEN 'FURNITURE' THEN 'Parks Commission' ELSE name END AS name FROM {organization} o)"
+KINDS = "(SELECT id, place_id, organization_id, concat(meeting_type, CASE id % 5 WHEN 0 THEN ' Planning Commission' WHEN 1 THEN ' planning board' WHEN 2 THEN ' PARKS' ELSE '' END) AS meeting_type FROM {event} e)"
+
+
+@query("WITH b AS (SELECT *, CASE WHEN lower(meeting_type) LIKE '%planning commission%' OR lower(meeting_type) LIKE '%planning board%' THEN 'Planning Commission' WHEN lower(meeting_type) LIKE '%parks%' THEN 'Parks Commission' ELSE 'City Council' END AS body FROM " + KINDS + " k), o AS (SELECT place_id, name, min(id) AS body_id FROM " + BODIES + " x GROUP BY 1, 2) SELECT b.id, body, body_id, organization_id IS DISTINCT FROM body_id AS changed FROM b LEFT JOIN o ON o.place_id = b.place_id AND o.name = body")
 def u3_backfill_organizations(t):
-    return records.backfill_organizations(t.event, t.organization).select("id", "body", F.col("body_id").cast("long").alias("body_id"), "changed")
+    return records.backfill_organizations(from_sql(t, "SELECT * FROM " + KINDS + " k"), from_sql(t, "SELECT * FROM " + BODIES + " o")).select("id", "body", F.col("body_id").cast("long").alias("body_id"), "changed")
 
 
-@query("WITH s AS (SELECT vec_id AS c, CAST(vec_id % 7 AS VARCHAR) AS h FROM {embeddings} WHERE vec_id % 2 = 0), i AS (SELECT vec_id AS c, CAST(vec_id % 14 AS VARCHAR) AS h FROM {embeddings} WHERE vec_id % 3 = 0) SELECT coalesce(s.c, i.c) AS catalog_id, CASE WHEN i.c IS NULL THEN 'kept' WHEN s.c IS NULL THEN 'inserted' WHEN s.h = i.h THEN 'cached' ELSE 'updated' END AS status FROM s FULL JOIN i ON i.c = s.c")
+@query("WITH s AS (SELECT vec_id AS c, CAST(vec_id % 7 AS VARCHAR) AS h FROM {embeddings}), i AS (SELECT vec_id + 9 AS c, CAST((vec_id + 9) % 14 AS VARCHAR) AS h FROM {embeddings}) SELECT coalesce(s.c, i.c) AS catalog_id, CASE WHEN i.c IS NULL THEN 'kept' WHEN s.c IS NULL THEN 'inserted' WHEN s.h = i.h THEN 'cached' ELSE 'updated' END AS status FROM s FULL JOIN i ON i.c = s.c")
 def u5_upsert_embeddings(t):
     e = t.embeddings.select(F.col("vec_id").alias("catalog_id"))
-    stored = e.filter("catalog_id % 2 = 0").select("catalog_id", (F.col("catalog_id") % 7).cast("string").alias("source_hash"), F.lit("driver").alias("model_name"))
-    return records.upsert_embeddings(stored, e.filter("catalog_id % 3 = 0").select("catalog_id", (F.col("catalog_id") % 14).cast("string").alias("source_hash")), "driver")
+    stored = e.select("catalog_id", (F.col("catalog_id") % 7).cast("string").alias("source_hash"), F.lit("driver").alias("model_name"))
+    return records.upsert_embeddings(stored, e.select(F.col("catalog_id") + 9).toDF("catalog_id").select("catalog_id", (F.col("catalog_id") % 14).cast("string").alias("source_hash")), "driver")
 
 
-@query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS content, CAST(0 AS BIGINT) AS summary, count(id) AS ids FROM {catalog}")
+@query("SELECT id, brand, CAST(NULL AS VARCHAR) AS content, CAST(NULL AS VARCHAR) AS content_hash, CAST(NULL AS VARCHAR) AS summary, true AS no_topics FROM {catalog}")
 def u10_purge_derived(t):
-    return records.purge_derived(t.catalog).agg(F.count("*").alias("n"), F.count("content").alias("content"), F.count("summary").alias("summary"), F.count("id").alias("ids"))
+    return records.purge_derived(t.catalog).select("id", "brand", "content", "content_hash", "summary", F.col("topics").isNull().alias("no_topics"))
 
 
 @query("SELECT id, content_hash FROM {catalog}")
@@ -197,9 +201,9 @@ def u15_extraction_state(t):
     return t.events.select("event_id", *(c.alias(n) for n, c in records.extraction_state(F.col("value") > 20, F.col("user_id") % 4, F.col("props")).items()))
 
 
-@query("SELECT id, catalog_id, running_chars FROM (SELECT id, catalog_id, sum(length(title)) OVER (PARTITION BY catalog_id ORDER BY item_order ROWS UNBOUNDED PRECEDING) AS running_chars FROM {agenda_item}) r WHERE running_chars <= 1000")
+@query("SELECT id, catalog_id, running_chars FROM (SELECT id, catalog_id, sum(length(title)) OVER (PARTITION BY catalog_id ORDER BY item_order ROWS UNBOUNDED PRECEDING) AS running_chars FROM {agenda_item}) r WHERE running_chars <= 10000")
 def w7_character_budget(t):
-    return records.character_budget(t.agenda_item, 1000).select("id", "catalog_id", "running_chars")
+    return records.character_budget(t.agenda_item, 10000).select("id", "catalog_id", "running_chars")
 
 
 @query("SELECT doc_id, COLLAPSE(text) AS collapsed FROM {documents}")

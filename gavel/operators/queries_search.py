@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions import text as X
 from gavel.operators import graph, search
-from gavel.plans.bridge import Tables, twin
+from gavel.plans.bridge import Tables, from_sql, twin
 
 NOISE = ", ".join(f"'{t}'" for t in X.TREND_NOISE)
 CATEGORY = "CASE WHEN lower({0}) LIKE '%regular%' THEN 'Regular' WHEN lower({0}) LIKE '%special%' THEN 'Special' WHEN lower({0}) LIKE '%closed%' THEN 'Closed' ELSE 'Other' END"
@@ -62,10 +62,10 @@ def f5_item_documents(t):
     return t.agenda_item.select(F.concat(F.lit("item_"), F.col("id").cast("string")).alias("id"), X.html_stripped(F.col("title")).alias("title"))
 
 
-@query("SELECT result_type, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT 'meeting' AS result_type, concat('d', CAST(id AS VARCHAR)) AS id FROM " + STAR + " s UNION ALL SELECT 'agenda_item', concat('i', CAST(i.id AS VARCHAR)) FROM {agenda_item} i WHERE EXISTS (SELECT 1 FROM {document} d JOIN {event} e ON e.id = d.event_id WHERE d.catalog_id = i.catalog_id)) u GROUP BY 1")
+@query("SELECT result_type, id FROM (SELECT 'meeting' AS result_type, concat('doc_', CAST(id AS VARCHAR)) AS id FROM " + STAR + " s UNION ALL SELECT 'agenda_item', concat('item_', CAST(i.id AS VARCHAR)) FROM {agenda_item} i WHERE EXISTS (SELECT 1 FROM {document} d JOIN {event} e ON e.id = d.event_id WHERE d.catalog_id = i.catalog_id)) u")
 def s10_search_table(t):
     items = search.item_documents(search.item_star(t.agenda_item, t.document, t.event, t.place, t.organization))
-    return search.search_table(meetings(t), items).groupBy("result_type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    return search.search_table(meetings(t), items).select("result_type", "id")
 
 
 @query("SELECT id FROM " + MEETINGS + " m WHERE city = 'nation_6' AND date >= '1997-01-01' AND date <= '1998-12-31'")
@@ -78,9 +78,12 @@ def f3_candidate_matcher(t):
     return meetings(t).filter(search.SearchFilters(city="NATION_6", organization="Building", date_from=dt.date(1997, 1, 1)).matcher()).select(F.col("db_id").alias("id"))
 
 
-@query("SELECT id, " + CATEGORY.format("meeting_type") + " AS meeting_category FROM {event}")
+TYPES = "(SELECT id, concat(meeting_type, CASE id % 5 WHEN 0 THEN ' Regular' WHEN 1 THEN ' SPECIAL meeting' WHEN 2 THEN ' closed regular' ELSE '' END) AS meeting_type FROM {event} e)"
+
+
+@query("SELECT id, " + CATEGORY.format("meeting_type") + " AS meeting_category FROM " + TYPES + " e")
 def f6_meeting_category(t):
-    return t.event.select("id", X.meeting_category(F.col("meeting_type")).alias("meeting_category"))
+    return from_sql(t, "SELECT * FROM " + TYPES + " e").select("id", X.meeting_category(F.col("meeting_type")).alias("meeting_category"))
 
 
 @query("SELECT id, " + KIND.format("category") + " AS kind FROM {document}")
@@ -88,14 +91,20 @@ def f7_document_kind(t):
     return t.document.select("id", X.document_kind(F.col("category")).alias("kind"))
 
 
-@query("SELECT id, CASE WHEN regexp_matches(s, '^[a-z]{2}_.+') THEN s ELSE concat('ca_', s) END AS slug FROM (SELECT id, regexp_replace(lower(name), '[\\s-]+', '_', 'g') AS s FROM {place}) p")
+NAMES = "(SELECT id, CASE id % 7 WHEN 0 THEN 'San José' WHEN 1 THEN ' El-Paso  Nuevo ' WHEN 2 THEN 'TX_Waco' WHEN 3 THEN 'bad!name' WHEN 4 THEN 'la mesa' WHEN 5 THEN NULL ELSE name END AS name FROM {place} p)"
+
+
+@query("SELECT id, CASE WHEN regexp_matches(l, '^[a-z0-9_\\-\\s]+$') THEN CASE WHEN regexp_matches(s, '^[a-z]{2}_.+') THEN s ELSE concat('ca_', s) END END AS slug FROM (SELECT id, l, regexp_replace(l, '[\\s-]+', '_', 'g') AS s FROM (SELECT id, lower(translate(trim(name), 'áéíóúüñçÁÉÍÓÚÜÑÇ', 'aeiouuncAEIOUUNC')) AS l FROM " + NAMES + " n) k) p")
 def f1_city_slug(t):
-    return t.place.select("id", X.city_slug(F.col("name")).alias("slug"))
+    return from_sql(t, "SELECT * FROM " + NAMES + " n").select("id", X.city_slug(F.col("name")).alias("slug"))
+
 
+SOURCES = "(SELECT id, CASE id % 4 WHEN 0 THEN 'san_mateo' WHEN 1 THEN 'san mateo' WHEN 2 THEN 'san leandro' ELSE source END AS source FROM {event} e)"
 
-@query("SELECT id FROM {event} WHERE source IN ('nation_6')")
+
+@query("SELECT id FROM " + SOURCES + " e WHERE source IN ('san_mateo', 'san mateo')")
 def f17_city_aliases(t):
-    return search.with_aliases(t.event, "nation_6").select("id")
+    return search.with_aliases(from_sql(t, "SELECT * FROM " + SOURCES + " e"), "san_mateo").select("id")
 
 
 @query("SELECT facet, value, count(*) AS n FROM (SELECT 'city' AS facet, city AS value FROM " + MEETINGS + " m UNION ALL SELECT 'organization', organization FROM " + MEETINGS + " m UNION ALL SELECT 'meeting_category', meeting_category FROM " + MEETINGS + " m UNION ALL SELECT 'topics', unnest(list_distinct(topics)) FROM " + MEETINGS + " m) f WHERE value IS NOT NULL GROUP BY 1, 2")
@@ -124,10 +133,10 @@ def w4_best_candidates(t):
     return search.best_candidates(c).select("catalog_id", "row_id", "score")
 
 
-@query("WITH s AS (SELECT vec_id AS catalog_id, (vec_id * 17) % 101 AS score FROM {embeddings} WHERE vec_id % 3 = 0), l AS (SELECT doc_id AS catalog_id, doc_id AS rank FROM {documents} WHERE doc_id % 2 = 0) SELECT catalog_id, CAST(score AS DOUBLE) AS score, 0 AS part FROM s UNION ALL SELECT catalog_id, CAST(-(rank + 1) AS DOUBLE), 1 FROM l WHERE catalog_id NOT IN (SELECT catalog_id FROM s)")
+@query("WITH s AS (SELECT vec_id AS catalog_id, (vec_id * 17) % 101 AS score FROM {embeddings}), l AS (SELECT doc_id AS catalog_id, doc_id AS rank FROM {documents}) SELECT catalog_id, CAST(score AS DOUBLE) AS score, 0 AS part FROM s UNION ALL SELECT catalog_id, CAST(-(rank + 1) AS DOUBLE), 1 FROM l WHERE catalog_id NOT IN (SELECT catalog_id FROM s)")
 def u9_lexical_fallback(t):
-    s = t.embeddings.filter("vec_id % 3 = 0").select(F.col("vec_id").alias("catalog_id"), ((F.col("vec_id") * 17) % 101).cast("double").alias("score"))
-    hits = t.documents.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("catalog_id"), F.col("doc_id").alias("rank"))
+    s = t.embeddings.select(F.col("vec_id").alias("catalog_id"), ((F.col("vec_id") * 17) % 101).cast("double").alias("score"))
+    hits = t.documents.select(F.col("doc_id").alias("catalog_id"), F.col("doc_id").alias("rank"))
     return search.with_lexical_fallback(s, hits).select("catalog_id", "score", F.col("place.part").alias("part"))
 
 
@@ -170,10 +179,15 @@ def g3_lineage(t):
     return graph.lineage(r.select("id"), graph.related_edges(r))
 
 
-@query("SELECT id, event_id, CAST(date AS VARCHAR) AS date FROM (SELECT id, event_id, record_date AS date FROM " + STAR + " s WHERE catalog_id <= 40) x ORDER BY date DESC NULLS FIRST, id DESC")
+LINEAGE = COMPONENTS + ", z AS (SELECT component, count(*) AS size FROM k GROUP BY 1), big AS (SELECT component FROM z ORDER BY size DESC, component LIMIT 1)"
+
+
+@query(LINEAGE + " SELECT s.id, s.event_id, CAST(s.record_date AS VARCHAR) AS date FROM " + STAR + " s JOIN k ON k.id = s.catalog_id JOIN big ON big.component = k.component")
 def j3_lineage_timeline(t):
-    lineage = t.catalog.select(F.col("id").alias("catalog_id"), F.when(F.col("id") <= 40, "lin-1").otherwise("lin-2").alias("lineage_id"), F.lit(0.5).alias("confidence"))
-    return search.lineage_timeline(star(t).select("id", "event_id", "catalog_id", "record_date"), lineage, "lin-1", 0.3).select("id", "event_id", F.col("record_date").cast("string").alias("date"))
+    r = related(t)
+    lineage = graph.checkpointed(graph.lineage(r.select("id"), graph.related_edges(r)))
+    largest = lineage.orderBy(F.desc("size"), F.substring_index("lineage_id", "-", -1).cast("long")).first()  # the lineage that is asked for
+    return search.lineage_timeline(star(t).select("id", "event_id", "catalog_id", "record_date"), lineage, largest.lineage_id, 0.3).select("id", "event_id", F.col("record_date").cast("string").alias("date"))
 
 
 QVEC = [round(((i * 37) % 64) / 64 - 0.5, 6) for i in range(64)]

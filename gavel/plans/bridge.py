@@ -20,7 +20,7 @@ VIEWS = {
     "catalog": "SELECT id, content, content_hash, CASE WHEN id % 3 <> 0 THEN substring(content, 1, 200) END AS summary, CASE WHEN id % 5 <> 0 THEN content_hash ELSE 'stale' END AS summary_source_hash, CASE WHEN id % 7 = 0 THEN 'empty' WHEN id % 2 = 0 THEN 'complete' END AS agenda_segmentation_status, brand, part_type, topics FROM (SELECT p_partkey + 1 AS id, text AS content, CASE WHEN COLLAPSE(text) <> '' THEN SHA(COLLAPSE(text)) END AS content_hash, p_brand AS brand, p_type AS part_type, ARRAY(p_brand, p_type) AS topics FROM {part} LEFT JOIN {documents} ON p_partkey = doc_id) c",
     "agenda_item": "SELECT doc_id * 1000000000 + line_no AS id, doc_id + 1 AS catalog_id, line_no AS item_order, line AS title, CAST(1 + floor(line_no / 10) AS BIGINT) AS page_number FROM LINES({documents}) l",
     "span": "SELECT event_id, ts, event_type AS phase, value AS duration_s, user_id AS catalog_id FROM {events}",
-    "event_stage": "SELECT o.o_orderkey * 2 + k AS id, CASE WHEN o.o_orderkey % 30 = 0 THEN 'unknown' ELSE p.ocd_division_id END AS ocd_division_id, CASE WHEN o.o_orderkey % 70 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS record_date, concat(o.o_orderpriority, CASE WHEN o.o_orderkey % 3 = 0 THEN ' new' ELSE '' END) AS name FROM {orders} o JOIN {customer} ON o_custkey = c_custkey JOIN {place} p ON p.id = c_nationkey + 1 JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) twice ON o.o_orderkey % 10 = 0 AND (k = 0 OR o.o_orderkey % 20 = 0)",
+    "event_stage": "SELECT o.o_orderkey * 2 + k AS id, CASE WHEN o.o_orderkey % 30 = 0 THEN 'unknown' ELSE p.ocd_division_id END AS ocd_division_id, CASE WHEN o.o_orderkey % 70 = 0 THEN NULL ELSE CAST(o.o_orderdate AS DATE) END AS record_date, concat(o.o_orderpriority, CASE WHEN o.o_orderkey % 3 = 0 THEN ' new' ELSE '' END) AS name FROM {orders} o JOIN {customer} ON o_custkey = c_custkey JOIN {place} p ON p.id = c_nationkey + 1 JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) twice ON k = 0 OR o.o_orderkey % 2 = 0",
     "ab_row": "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS arm, quality AS section_compliance_pass, toxic AS fallback_used, CAST((doc_id * 37) % 1000 AS DOUBLE) AS duration_ms, (doc_id * 13) % 500 AS total_tokens FROM {labels}",
     "person": "SELECT s_suppkey + 1 AS id, lower(s_name) AS name, concat('client', CAST(s_nationkey AS VARCHAR(10))) AS client, s_nationkey + 1 AS place_id FROM {supplier}",
 }

@@ -110,3 +110,79 @@ def test_hydrate_numbers_only_the_page(spark):
     found = queries_merging.QUERIES["g8_hydrate"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "GlobalLimit 31" in plan[plan.index("Window ") :]
+
+
+def brute_ratio(a, b):
+    a, b = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return 200.0 * row[-1] / (len(a) + len(b)) if a or b else 100.0
+
+
+def test_title_ratio_and_greedy_groups(spark):
+    import random
+
+    from gavel.operators import matching
+
+    rng = random.Random(3)
+    words = ["budget", "budgets", "hearing", "zone", "zones", "park", "of", "the"]
+    titles = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(60)] + ["", None]
+    for _ in range(200):
+        a, b = rng.choice(titles[:-2]), rng.choice(titles[:-2])
+        assert matching.token_sort_ratio(a, b) == pytest.approx(brute_ratio(a, b))
+    items = spark.createDataFrame([(k, i, t) for k in (1, 2) for i, t in enumerate(titles if k == 1 else titles[::-1])], "catalog_id long, item_order long, title string")
+    found = {(r.catalog_id, r.item_order): r.group_order for r in matching.near_titles(items).collect()}
+    for k, own in ((1, titles), (2, titles[::-1])):
+        heads = []
+        for i, t in enumerate(own):
+            if not t:
+                assert (k, i) not in found
+                continue
+            head = next((h for h in heads if brute_ratio(t, own[h]) >= 92), None)
+            if head is None:
+                heads.append(i)
+                head = i
+            assert found[k, i] == head
+    d = items.filter("catalog_id = 1").select("catalog_id", F.col("item_order").alias("item"), "title")
+    best = {r["item"]: r["ratio"] for r in matching.best_titles(d.withColumn("title", F.concat("title", F.lit(" x"))), d, "catalog_id", 88).collect()}
+    for i, t in enumerate(titles):
+        top = max(brute_ratio(f"{t} x", u) for u in titles if u) if t else 0
+        if t is None or top < 88:
+            assert i not in best
+        elif t:
+            assert best[i] == pytest.approx(top)
+
+
+def test_bad_content_claims_and_answers(spark):
+    from gavel.operators import titles
+
+    d = spark.createDataFrame(
+        [
+            (1, "The system has encountered an error and could not complete your request. If the problem persists,\nplease contact the site administrator"),
+            (2, "Agenda Report\nTo: all\nFrom: me\nSubject: x\nRecommendation: y\nAgenda number: 3"),
+            (3, "Agenda Report\nTo: all\nFrom: me\nSubject: x\nRecommendation: y\nAgenda number: 3\nAdjournment"),
+            (4, None),
+        ],
+        "id long, text string",
+    )
+    found = {r.id: r.reason for r in d.select("id", titles.bad_content(F.col("text"), category=F.lit("Agenda")).alias("reason")).collect()}
+    assert found == {1: "laserfiche_error_page_detected", 2: "single_item_staff_report_detected", 3: None, 4: None}
+    s = spark.createDataFrame([(1, "BLUF: none\n- The council approved roads\n* purple zebras dance", "Council approves the roads"), (2, "BLUF: council approved", "council approved"), (3, None, "x"), (4, "a claim here", None)], "id long, summary string, source string")
+    g = {r.id: (r.claims, r.unsupported, r.coverage, r.grounded) for r in titles.grounding(s, "id", "summary", "source").collect()}
+    assert g == {1: (2, 1, 0.5, False), 2: (1, 0, 1.0, True), 3: (0, 1, 0.0, False), 4: (1, 1, 0.0, False)}
+    a = spark.createDataFrame([(1, "ITEM 1: Budget (page 4) - all of it\nitem 2: Parks - trees\nITEM 1: BUDGET (page 5)\nITEM 3:\n")], "id long, answer string")
+    assert rows(titles.model_items(a, "id", "answer")) == [(1, 1, "Budget", 4, "all of it"), (1, 2, "Parks", 1, "trees")]
+
+
+def test_registry_violations(spark):
+    from gavel.sources import text_scans
+
+    good = ("a", "wave1", "yes", "pass", "no", "", "", "", "")
+    rows_ = [good, ("b", "wave3", "yes", "pass", "yes", "", "", "", ""), ("b", "", "no", "fail", "no", "r", "legistar_office_records", "Council", "2024-13-01"), ("C!", "", "no", "fail", "no", "", "", "Council", "")]
+    d = spark.createDataFrame(rows_, ", ".join(f"{c} string" for c in text_scans.REGISTRY))
+    found = rows(text_scans.registry_violations(d, spark.createDataFrame([("a",), ("b",)], "slug string")))
+    assert found == [("C!", "incomplete_roster"), ("C!", "invalid_slug"), ("C!", "unknown_city"), ("b", "duplicate_slug"), ("b", "duplicate_slug"), ("b", "invalid_verified_at"), ("b", "invalid_wave"), ("b", "missing_noop_run")]
