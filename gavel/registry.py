@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from gavel.operators import queries_agenda, queries_documents, queries_matching, queries_merging, queries_people, queries_quality, queries_records, queries_scores, queries_search
+    from gavel.operators import queries_agenda, queries_documents, queries_matching, queries_merging, queries_people, queries_quality, queries_records, queries_scores, queries_search, queries_summaries
 
-    return [queries_search, queries_records, queries_people, queries_quality, queries_merging, queries_agenda, queries_documents, queries_matching, queries_scores]
+    return [queries_search, queries_records, queries_people, queries_quality, queries_merging, queries_agenda, queries_documents, queries_matching, queries_scores, queries_summaries]
 
 
 def queries() -> dict:
