@@ -150,13 +150,14 @@ def x25_flat_titles(t):
     return d.select("doc_id", "title", (F.col("at") + 1).alias("rank"))
 
 
+# DuckDB's \b knows ASCII only, so other letters become a word's character there
 HINTS = holds("lower(line)", scores.ENTITY_HINTS)
 
 
 @query(
     "WITH d AS (SELECT doc_id, lower(trim(category)) IN ('agenda', 'agenda_html') AS hinted, replace(text, 'the', 'The Mayor') AS text FROM " + NUMBERED + " n), l AS (SELECT doc_id, generate_subscripts(a, 1) AS k, COLLAPSE(unnest(a)) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\\r\\n|[\\n\\r\\x0B\\x0C\\x1C-\\x1E\\x{85}]') AS a FROM d WHERE hinted) x), "
     "h AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) - 1 AS upto, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth FROM l WHERE " + HINTS + "), j AS (SELECT doc_id, substring(string_agg(line, chr(10) ORDER BY k), 1, 24000) AS joined FROM h WHERE nth = 1 OR upto <= 24000 GROUP BY 1), "
-    "c AS (SELECT d.doc_id, CASE WHEN hinted THEN coalesce(joined, substring(text, 1, 12000)) ELSE substring(text, 1, 16000) END AS line, hinted AND joined IS NULL AND text <> '' AS prefix_used FROM d LEFT JOIN j ON j.doc_id = d.doc_id) SELECT doc_id, line AS text, NOT " + HINTS + " AND len(regexp_extract_all(line, " + quoted(scores.NAME_CUE) + ")) < 2 AS low_signal, prefix_used FROM c"
+    "c AS (SELECT d.doc_id, CASE WHEN hinted THEN coalesce(joined, substring(text, 1, 12000)) ELSE substring(text, 1, 16000) END AS line, hinted AND joined IS NULL AND text <> '' AS prefix_used FROM d LEFT JOIN j ON j.doc_id = d.doc_id) SELECT doc_id, line AS text, NOT " + HINTS + " AND len(regexp_extract_all(regexp_replace(line, '[^\\x00-\\x7F]', '_', 'g'), " + quoted(scores.NAME_CUE) + ")) < 2 AS low_signal, prefix_used FROM c"
 )
 def x21_entity_candidates(t):
     d = from_sql(t, "SELECT doc_id, category, replace(text, 'the', 'The Mayor') AS text FROM " + NUMBERED + " n")
