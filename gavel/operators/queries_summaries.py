@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gavel.operators import evidence, repair, summaries, titles
+from gavel.functions.text import collapse
+from gavel.operators import evidence, repair, scores, summaries, titles
 from gavel.operators.queries_documents import PAGES, REASON, listed, matches, pages, quoted, reason
 from gavel.operators.queries_scores import ITEMS
 from gavel.plans.bridge import Tables, from_sql, twin
@@ -144,3 +145,18 @@ FULL = "coalesce(n = 2 AND bef = 1 AND aft = 1, FALSE)"
 def a21_phase_evidence(t):
     d = from_sql(t, "SELECT * FROM " + PHASES + " p").withColumn("ids", F.expr("CASE form WHEN 0 THEN CAST(array() AS ARRAY<BIGINT>) WHEN 1 THEN array(2L, 1L) WHEN 2 THEN array(1L, 2L) ELSE array(0L, 2L) END"))
     return evidence.phase_reasons(d, d.select("run_id"))
+
+
+#: Every line of every document, some as the rules on lines know them.
+MARKED = """(SELECT id, CASE item_order % 12 WHEN 0 THEN concat('A. ', title) WHEN 1 THEN '20.154.33 (dial)' WHEN 2 THEN 'Comm unication Access Information' WHEN 3 THEN concat('16 in the appropriate ', title) WHEN 4 THEN 'approve the minutes' WHEN 5 THEN '42 - 17' WHEN 6 THEN 'Maria P. Lopez' WHEN 7 THEN 'You may enter as a resident' WHEN 8 THEN NULL ELSE title END AS title FROM {agenda_item} a)"""
+LINE = "coalesce(title, '')"
+COLLAPSED = "COLLAPSE(coalesce(title, ''))"
+
+
+@query(
+    "SELECT id, regexp_matches(lower(trim(" + LINE + ")), " + quoted("|".join(summaries.LINKS) + "|" + summaries.pattern(summaries.ATTENDANCE)) + ") AS attendance, " + noise(LINE) + " AS segment_noise, NOT regexp_matches(" + COLLAPSED + ", '[A-Za-z]') OR (NOT regexp_matches(lower(" + COLLAPSED + "), " + quoted(summaries.pattern(summaries.CUES)) + ") AND regexp_matches(" + COLLAPSED + ", '^[^A-Za-z]*[a-z]')) AS fragment, regexp_matches("
+    + COLLAPSED + ", " + quoted(scores.SUB_MARKER) + ") AS sub_marker, regexp_matches(" + COLLAPSED + ", " + quoted(scores.NAME_PATTERN) + ") AND NOT list_has_any(list_transform(string_split(lower(" + COLLAPSED + "), ' '), lambda x: trim(x, '.')), [" + ", ".join(map(quoted, scores.NOT_NAMES)) + "]) AS name_only FROM " + MARKED + " m"
+)
+def f13_line_noise(t):
+    d, line = from_sql(t, "SELECT * FROM " + MARKED + " m"), F.coalesce("title", F.lit(""))
+    return d.select("id", summaries.is_attendance(line).alias("attendance"), summaries.is_segment_noise(line).alias("segment_noise"), summaries.is_line_fragment(line).alias("fragment"), collapse(line).rlike(scores.SUB_MARKER).alias("sub_marker"), scores.is_name_only(line).alias("name_only"))
