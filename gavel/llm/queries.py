@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_extract, near_dedup, quality_fm, quality_rules, sharding, substring_dedup, token_counts, warc
+from . import bpe, decontaminate, html_extract, importance, near_dedup, quality_fm, quality_rules, secret_scan, sharding, substring_dedup, token_counts, vector_codes, warc
 
 #: Where the tokenizer's ranks are; a parameter of every operator that encodes.
 RANKS_FILE = "byte_bpe_50k.tiktoken"
@@ -63,8 +63,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_quality_fm, op3_token_counts, op4_near_duplicates, op5_decontamination, op6_quality_rules, op7_byte_shards, op8_substring_dedup, op9_html_text, op10_warc)}
+    found = (
+        op1_byte_bpe, op2_quality_fm, op3_token_counts, op4_near_duplicates, op5_decontamination, op6_quality_rules, op7_byte_shards,
+        op8_substring_dedup, op9_html_text, op10_warc, op11_importance, op12_vector_codes, op13_secret_scan,
+    )
+    return {f.__name__: f for f in found}
 
 
 OP4_SQL = """
@@ -182,5 +198,100 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32,
 FROM s"""
 
 
+#: crc32 of the bytes that h holds in hexadecimal, with the table t of tbl.
+_CRC_TABLE = """
+  SELECT list(list_reduce([n, 1, 2, 3, 4, 5, 6, 7, 8], lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY n) AS t
+  FROM (SELECT CAST(n AS BIGINT) AS n FROM range(256) r(n))"""
+
+OP11_SQL = rf"""
+WITH tbl AS ({_CRC_TABLE}),
+w AS (
+  SELECT 's' AS side, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 't', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
+u AS (SELECT side, doc_id, unnest(w) AS x FROM w),
+v AS (SELECT x, hex(encode(x)) AS h FROM (SELECT DISTINCT x FROM u)),
+c AS (
+  SELECT x, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(h) // 2), lambda i: CAST(CAST('0x' || substring(h, i * 2 + 1, 2) AS INTEGER) AS BIGINT))),
+      lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM v, tbl),
+b AS (SELECT bucket, CAST(count(*) FILTER (side = 's') AS DOUBLE) AS s, CAST(count(*) FILTER (side = 't') AS DOUBLE) AS t FROM u JOIN c USING (x) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000)) / ((s + 1) * (sum(t) OVER () + 10000)))) AS BIGINT) AS gain FROM b),
+d AS (SELECT doc_id, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight FROM u JOIN c USING (x) JOIN g USING (bucket) WHERE side = 's' GROUP BY doc_id),
+z AS (
+  SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    CAST('0x' || substring(sha256('2024:' || CAST(w.doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM w LEFT JOIN d USING (doc_id) WHERE side = 's'),
+e AS (SELECT doc_id, n_features, weight, CAST(weight + floor(-1000 * ln(-ln((h + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM z),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () * 10 // 100 AS drawn FROM e WHERE n_features >= 20)
+SELECT e.doc_id, n_features, weight, score, CAST(CASE WHEN rank <= drawn THEN rank END AS BIGINT) AS rank
+FROM e LEFT JOIN r USING (doc_id)"""
+
+
+def _op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds one after the other; a codebook is a row for each part and entry."""
+    assign = """
+  SELECT vec_id, label, part, v, list_min(l) AS d, list_position(l, list_min(l)) - 1 AS entry FROM (
+    SELECT vec_id, label, x.part, v, list_transform(book, lambda e: list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - e[i]) * (v[i] - e[i])))) AS l
+    FROM x JOIN (SELECT part, list(c ORDER BY entry) AS book FROM {book} GROUP BY part) k ON k.part = x.part)"""
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({assign.format(book=f'b{k}')})")
+        steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY i) AS c FROM (
+      SELECT part, entry, i, CAST(floor(CAST(sum(v[i]) AS DOUBLE) / count(*)) AS BIGINT) AS m FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY ALL)
+    GROUP BY ALL) m ON m.part = b.part AND m.entry = b.entry)""")
+    steps = ",\n".join(steps)
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, part, w[part * len(w) // {parts} + 1:(part + 1) * len(w) // {parts}] AS v FROM kept, range({parts}) p(part)),
+b0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v AS c FROM x
+  WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {entries})),
+{steps},
+z AS MATERIALIZED ({assign.format(book=f'b{rounds}')}),
+o AS (SELECT vec_id, label, string_agg(lpad(format('{{:x}}', entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256
+FROM o"""
+
+
+def _op13_sql() -> str:
+    s = secret_scan
+    matchers = {"assign": s.ASSIGN, "access": s.ACCESS, "hex": s.HEX, "weak": s.WEAK, "gap": s.BLANK_LINE}
+    quoted = {k: p.replace("'", "''") for k, p in matchers.items()}
+    lists = ", ".join(f"regexp_extract_all(t, '{p}') AS m_{k}, regexp_split_to_array(t, '{p}') AS g_{k}" for k, p in quoted.items())
+    rows = " UNION ALL ".join(
+        f"SELECT r, '{k}' AS matcher, generate_subscripts(m_{k}, 1) AS n, unnest(m_{k}) AS m, unnest(g_{k}[1:len(m_{k})]) AS g, unnest({groups}) AS s FROM f"
+        for k, groups in {"assign": "v_assign", "access": "m_access", "hex": "m_hex", "weak": "list_transform(range(1, len(m_weak) + 1), lambda i: CASE WHEN v_1[i] <> '' THEN '3' WHEN v_2[i] <> '' THEN '4' ELSE '5' END)", "gap": "m_gap"}.items()
+    )
+    near = lambda x: f"(coalesce(start - {x}_stop <= {s.REACH}, false) OR coalesce({x}_start - stop <= {s.REACH}, false))"
+    sorts = {"i": "kind IN (1, 3)", "s": "kind IN (0, 2, 4)", "e": "kind = 5"}
+    nearest = lambda names: ", ".join(f"max(CASE WHEN {c} THEN stop END) OVER behind AS {n}_stop, min(CASE WHEN {c} THEN start END) OVER ahead AS {n}_start" for n, c in names.items())
+    windows = "WINDOW behind AS (PARTITION BY r, scope ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ahead AS (PARTITION BY r, scope ORDER BY start, kind ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    name = "[" + ", ".join(f"'{k}'" for k in s.KINDS) + "][kind + 1] || ':' || start || ':' || stop"
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents),
+f AS (SELECT r, {lists}, regexp_extract_all(t, '{quoted["assign"]}', 2) AS v_assign, regexp_extract_all(t, '{quoted["weak"]}', 1) AS v_1, regexp_extract_all(t, '{quoted["weak"]}', 2) AS v_2 FROM d),
+u AS ({rows}),
+l AS (SELECT r, matcher, m, s, length(m) AS size, sum(length(g) + length(m)) OVER (PARTITION BY r, matcher ORDER BY n) AS stop FROM u),
+k AS (
+  SELECT r, CASE matcher WHEN 'assign' THEN 0 WHEN 'access' THEN 1 WHEN 'hex' THEN 2 WHEN 'gap' THEN 6 ELSE CAST(s AS INTEGER) END AS kind, CAST(stop - size AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop
+  FROM l WHERE CASE WHEN matcher = 'assign' THEN length(s) >= {s.LEAST_VALUE}
+    WHEN matcher = 'weak' AND s = '4' THEN regexp_matches(m, '[:=]|\\.') OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')) ELSE true END),
+c AS (SELECT * FROM (SELECT *, sum(CASE WHEN kind = 6 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY start, kind ROWS UNBOUNDED PRECEDING) AS scope FROM k) WHERE kind < 6),
+a AS (SELECT * FROM (SELECT *, {nearest({"b": "kind < 3"})} FROM c {windows}) WHERE kind < 3 OR NOT (coalesce(b_stop > start, false) OR coalesce(b_start < stop, false))),
+p AS (SELECT *, {nearest(sorts)} FROM a {windows}),
+q AS (SELECT r, kind, start, stop FROM p WHERE kind < 3 OR (kind = 3 AND {near("s")}) OR (kind = 4 AND ({near("i")} OR {near("e")})) OR (kind = 5 AND {near("i")} AND {near("s")}))
+SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg({name}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg({name}, ',' ORDER BY start, kind) FILTER (kind IS NOT NULL), '') AS spans
+FROM d LEFT JOIN q USING (r) GROUP BY r, doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op6_quality_rules": _op6_sql(), "op7_byte_shards": OP7_SQL, "op10_warc": OP10_SQL}
+    new = {"op11_importance": OP11_SQL, "op12_vector_codes": _op12_sql(), "op13_secret_scan": _op13_sql()}
+    return new | {"op4_near_duplicates": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op6_quality_rules": _op6_sql(), "op7_byte_shards": OP7_SQL, "op10_warc": OP10_SQL}
