@@ -2,30 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a session in one process, as in tests, gets a folder of its own where none is set, on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (folder or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-shared-"))).rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from gavel.plans.tables import LEAST, checkpointed, drop, hot_keys, spread_join
 
 def related_edges(catalog: DataFrame, least_confidence: float = 0.5, mutual_only: bool = False) -> DataFrame:
     """a, b, confidence: undirected edges of related ids that exist; 1.0 if both name each other, else 0.5. A catalog that names itself is its own mutual neighbour."""
@@ -36,18 +17,41 @@ def related_edges(catalog: DataFrame, least_confidence: float = 0.5, mutual_only
     return both.filter((F.col("confidence") >= least_confidence) & (F.lit(not mutual_only) | (F.col("confidence") == 1.0)))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """id, component: the least id that edges (a, b) reach. Labels spread along edges and then jump to their label's label."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+def _roots(links: DataFrame, least: int) -> DataFrame:
+    """id, root of every node of links (a, b, both ways), a written table: each node hangs on its least neighbour if that is less, and pointers jump to the top."""
+    found = checkpointed(links.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root"), F.lit(True).alias("moved")))
+    while not found.filter("moved").isEmpty():
+        up = found.select(F.col("id").alias("root"), F.col("root").alias("higher"))
+        jumped = spread_join(found.select("id", "root"), up, "root", "id", hot_keys(found, "root", least))
+        jumped = checkpointed(jumped.select("id", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved")))
+        drop(found)
+        found = jumped
+    return found
+
+
+def components(nodes: DataFrame, edges: DataFrame, least: int = LEAST) -> DataFrame:
+    """id, component: the least id that edges (a, b) reach.
+
+    A round contracts the graph: nodes become the roots that they hang on, and only links between roots are left, fewer than half the nodes of the round
+    before. Rows of a node or root with more than least links, and more than a thousandth of all, are dealt to several tasks, so a star's centre fills none.
+    Tables of earlier rounds are deleted.
+    """
+    links = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
     labels = checkpointed(nodes.select("id", F.col("id").alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        hooked = labels.join(near, "id", "left").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        up = hooked.select(F.col("id").alias("component"), F.col("component").alias("higher"))
-        jumped = checkpointed(hooked.join(up, "component", "left").select("id", "was", F.least("component", "higher").alias("component")))
-        labels = jumped.select("id", "component")
-        if jumped.filter("was <> component").isEmpty():
-            return labels
+    while not links.isEmpty():
+        roots = _roots(links, least)
+        hot = hot_keys(links, "a", least)  # links go both ways, so b has the same hot nodes
+        a, b = (roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}")) for end in "ab")
+        half = spread_join(links, a, "a", "b", hot).select("root_a", "b")
+        whole = spread_join(half, b, "b", "root_a", hot.withColumnRenamed("a", "b") if hot is not None else None)
+        left = checkpointed(whole.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).filter("a <> b").distinct())
+        up = roots.select(F.col("id").alias("component"), "root")
+        moved = spread_join(labels, up, "component", "id", hot_keys(labels, "component", least), "left")
+        moved = checkpointed(moved.select("id", F.coalesce("root", "component").alias("component")))
+        drop(links, roots, labels)
+        links, labels = left, moved
+    drop(links)
+    return labels
 
 
 def lineage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -60,29 +64,23 @@ def lineage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select(F.col("id").alias("catalog_id"), F.concat(F.lit("lin-"), F.col("component").cast("string")).alias("lineage_id"), F.when(F.col("size") <= 1, 0.2).otherwise(F.round(value, 3)).alias("confidence"), "size", "degree")
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, rows_per_block: int = 2048) -> DataFrame:
-    """id, neighbour, score: at most k neighbours of each vector by cosine, exact.
+def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of length 1 of an Arrow list of (id, vector)."""
+    v = rows.values
+    ids = v.field(0).to_numpy()
+    m = np.array(v.field(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
+    return ids, m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
 
-    Vectors are dealt into blocks; every block meets every other in one task as matrices, which keeps its k best for each row, and a window merges the blocks' lists. Block pairs grow with the square of the number of vectors, rows that leave a task only with k.
-    """
-    n = max(1, -(-vectors.count() // rows_per_block))
-    packed = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    other = packed.select(F.col("block").alias("block2"), F.col("rows").alias("rows2"))
-    spread = packed.withColumn("block2", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(other, "block2").select("rows", "rows2")
+
+def _best_of_blocks(spread: DataFrame, k: int, least: float) -> DataFrame:
+    """id, neighbour, score: of blocks (rows) against blocks (rows2) of (id, vector) each row's k best, merged over all blocks it met."""
 
     def run(batches):
         import pyarrow as pa
 
-        def matrix(rows):
-            v = rows.values
-            ids = v.field(0).to_numpy()
-            m = np.array(v.field(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-            return ids, m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
-
         for batch in batches:
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                a, x = matrix(left)
-                b, y = matrix(right)
+                (a, x), (b, y) = _matrix(left), _matrix(right)
                 s = np.round(x @ y.T, 9)
                 s[a[:, None] == b[None, :]] = -2
                 order = np.lexsort((np.broadcast_to(b, s.shape), -s), axis=1)[:, :k]
@@ -90,11 +88,100 @@ def nearest_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, rows
                 keep = score >= least
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, order.shape[1])[keep.ravel()]), pa.array(b[order].ravel()[keep.ravel()]), pa.array(score.ravel()[keep.ravel()])], names=["id", "neighbour", "score"])
 
-    partial = spread.mapInArrow(run, "id long, neighbour long, score double")
+    partial = spread.select("rows", "rows2").mapInArrow(run, "id long, neighbour long, score double")
     best = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     return partial.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
+def nearest_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, rows_per_block: int = 2048) -> DataFrame:
+    """id, neighbour, score: at most k neighbours of each vector by cosine, exact.
+
+    Vectors are dealt into blocks; every block meets every other in one task as matrices, which keeps its k best for each row, and a window merges the blocks' lists. Block pairs grow with the square of the number of vectors, rows that leave a task only with k; approximate_neighbours() is for large tables.
+    """
+    n = max(1, -(-vectors.count() // rows_per_block))
+    packed = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+    other = packed.select(F.col("block").alias("block2"), F.col("rows").alias("rows2"))
+    return _best_of_blocks(packed.withColumn("block2", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(other, "block2"), k, least)
+
+
+#: Lists of the approximate search: the root of the number of vectors, this many at most, and vectors that are asked first to see how many lists it takes. Both bound what goes to each task.
+MOST_LISTS, SAMPLE = 16_384, 256
+
+
+def _normed(column) -> np.ndarray:
+    x = np.array(column.to_pylist() if hasattr(column, "to_pylist") else column, dtype=np.float64)
+    return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def _probes_needed(vectors: DataFrame, middle: np.ndarray, sample: list, k: int, least: float, recall: float) -> int:
+    """How many lists the sampled vectors must look into to find the share recall of their true neighbours; one pass over all vectors."""
+    ids, x = np.array([r.id for r in sample]), _normed([r.vector for r in sample])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                b, y = batch.column(0).to_numpy(), _normed(batch.column(1))
+                home = np.argmax(y @ middle.T, axis=1)
+                s = np.round(x @ y.T, 9)
+                s[ids[:, None] == b[None, :]] = -2
+                order = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                score = np.take_along_axis(s, order, axis=1)
+                asker = np.repeat(np.arange(len(ids)), order.shape[1])
+                keep = (score >= least).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(asker[keep]), pa.array(b[order].ravel()[keep]), pa.array(score.ravel()[keep]), pa.array(home[order].ravel()[keep])], names=["asker", "id", "score", "list"])
+
+    best = Window.partitionBy("asker").orderBy(F.desc("score"), "id")
+    found = vectors.select("id", "vector").mapInArrow(run, "asker long, id long, score double, list long").withColumn("_n", F.row_number().over(best))
+    pairs = found.filter(F.col("_n") <= k).select("asker", "list").collect()  # at most k for each of the sample
+    if not pairs:
+        return 1
+    rank = np.argsort(np.argsort(-(x @ middle.T), axis=1, kind="stable"), axis=1)
+    ranks = np.sort([rank[r.asker, r.list] for r in pairs])
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
+
+def approximate_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, recall: float = 0.95, rows_per_block: int = 2048, lists: int | None = None) -> DataFrame:
+    """id, neighbour, score: at most k neighbours of each vector by cosine, scored exactly, found in the lists nearest to it.
+
+    As many vectors as the root of their number are centres, drawn by their ids' hashes; every vector belongs to the list of its nearest centre and looks
+    into those of its nearest centres, as many as SAMPLE of the vectors need for the share recall of their true neighbours. Members and askers of a list meet in
+    blocks of rows_per_block, so a crowded list is work for many tasks. A vector is shuffled once for each list it looks into: few where vectors lie in clusters,
+    most of the lists where they lie anywhere (and no index helps). A neighbour in another list is missed; tests hold recall against the exact search.
+    """
+    n = vectors.count()
+    lists = lists or int(min(MOST_LISTS, max(1, n**0.5)))
+    drawn = vectors.select("id", "vector", F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h", "id")
+    centres = drawn.limit(lists).select("vector").collect()
+    if not centres:
+        return vectors.sparkSession.createDataFrame([], "id long, neighbour long, score double")
+    middle = _normed([r.vector for r in centres])
+    sample = vectors.select("id", "vector", F.xxhash64("id", F.lit(11)).alias("h")).orderBy("h", "id").limit(SAMPLE).select("id", "vector").collect()
+    probes = _probes_needed(vectors, middle, sample, k, least, recall)
+
+    def assign(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                near = np.argsort(-(_normed(batch.column(1)) @ middle.T), axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(near.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vector", "lists"])
+
+    kind = vectors.select("id", "vector", F.array(F.lit(0)).alias("lists")).schema
+    placed = checkpointed(vectors.select("id", "vector").mapInArrow(assign, kind))
+    home = placed.select(F.get("lists", F.lit(0)).alias("list"), "id", "vector")
+    asked = placed.select(F.explode("lists").alias("list"), "id", "vector")
+
+    def blocks(rows: DataFrame) -> DataFrame:
+        """Blocks of about rows_per_block rows of each list."""
+        parts = rows.groupBy("list").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("parts"))  # at most MOST_LISTS rows
+        dealt = rows.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+
+    return _best_of_blocks(blocks(asked).join(blocks(home).select("list", F.col("rows").alias("rows2")), "list"), k, least)
+
+
 def vector_top_k(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     """id, score: the k vectors of largest cosine with a query, ties by id."""
     q = np.array(query) / max(1e-12, float(np.linalg.norm(query)))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gavel.operators import graph, records, titles, topics
+from gavel.operators import records, titles, topics
 from gavel.operators.queries_people import TFIDF
+from gavel.plans import tables
 from gavel.plans.bridge import Tables, from_sql, twin
 from gavel.sources import text_scans
 from gavel.streaming import jobs
@@ -161,7 +160,7 @@ def w6_top_keywords(t):
 
 
 def folder(t: Tables) -> str:
-    return f"{graph.shared_folder(t._spark)}/files-{uuid.uuid4().hex}"
+    return tables.new_folder(t._spark, "files")
 
 
 CITIES = "(SELECT n_name AS city, concat(CASE WHEN n_nationkey % 4 = 3 THEN 'ocd-division/county:' ELSE 'ocd-division/place:' END, lower(n_name)) AS ocd_division_id FROM {nation} n)"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions import text as X
 from gavel.operators import graph, search
+from gavel.plans import tables
 from gavel.plans.bridge import Tables, from_sql, twin
 
 NOISE = ", ".join(f"'{t}'" for t in X.TREND_NOISE)
@@ -140,11 +141,6 @@ def u9_lexical_fallback(t):
     return search.with_lexical_fallback(s, hits).select("catalog_id", "score", F.col("place.part").alias("part"))
 
 
-@query()
-def w3_lexical_search(t):
-    return search.lexical_search(meetings(t), "building urgent the")
-
-
 def vectors(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
@@ -154,9 +150,17 @@ def g4_nearest_neighbours(t):
     return graph.nearest_neighbours(vectors(t)).select("id", "neighbour", F.round("score", 6).alias("score"))
 
 
+@query("SELECT count(*) AS pairs, TRUE AS found, 0 AS wrong FROM " + NEAR + " n")
+def g4_approximate_neighbours(t):
+    """How many of the exact pairs there are, whether the approximate search finds nine in ten of them, and how many it scores otherwise."""
+    exact = graph.nearest_neighbours(vectors(t)).withColumnRenamed("score", "exact")
+    both = exact.join(graph.approximate_neighbours(vectors(t)), ["id", "neighbour"], "left")
+    return both.agg(F.count("*").alias("pairs"), (F.count("score") >= 0.9 * F.count("*")).alias("found"), F.count_if(F.abs(F.col("score") - F.col("exact")) > 1e-6).cast("int").alias("wrong"))
+
+
 def related(t: Tables):
     near = graph.nearest_neighbours(vectors(t)).groupBy("id").agg(F.collect_list(F.col("neighbour").cast("string")).alias("related_ids"))
-    return graph.checkpointed(vectors(t).select("id").join(near, "id", "left"))
+    return tables.checkpointed(vectors(t).select("id").join(near, "id", "left"))
 
 
 @query("SELECT a, b, confidence FROM " + EDGES + " e")
@@ -185,7 +189,7 @@ LINEAGE = COMPONENTS + ", z AS (SELECT component, count(*) AS size FROM k GROUP
 @query(LINEAGE + " SELECT s.id, s.event_id, CAST(s.record_date AS VARCHAR) AS date FROM " + STAR + " s JOIN k ON k.id = s.catalog_id JOIN big ON big.component = k.component")
 def j3_lineage_timeline(t):
     r = related(t)
-    lineage = graph.checkpointed(graph.lineage(r.select("id"), graph.related_edges(r)))
+    lineage = tables.checkpointed(graph.lineage(r.select("id"), graph.related_edges(r)))
     largest = lineage.orderBy(F.desc("size"), F.substring_index("lineage_id", "-", -1).cast("long")).first()  # the lineage that is asked for
     return search.lineage_timeline(star(t).select("id", "event_id", "catalog_id", "record_date"), lineage, largest.lineage_id, 0.3).select("id", "event_id", F.col("record_date").cast("string").alias("date"))
 
