@@ -25,6 +25,7 @@ from gavel.operators.search import SearchFilters
 
 #: Buckets of terms, tasks that a bucket's postings are dealt to, and units of a field up to which its scores go to every task.
 BUCKETS, PARTS, FEW_UNITS = 64, 4, 10_000
+POSTINGS = "field int, unit string, refs long, dl int, term string, tf long, bucket int"
 WORD = r"[\p{L}\p{N}']+"
 #: Words around a match that a hit shows, and how matches are marked.
 CROP, PRE, POST = 50, '<em class="bg-yellow-200 not-italic font-semibold px-0.5 rounded">', "</em>"
@@ -86,7 +87,7 @@ def search(spark: SparkSession, path: str, query: str, filters: SearchFilters |
     documents = spark.read.parquet(f"{path}/documents")
     fields = sorted(spark.read.parquet(f"{path}/fields").collect(), key=lambda r: r.field)  # a row for each field
     wanted = F.col("bucket").isin(sorted({bucket_of(t) for t in terms})) & F.col("term").isin(terms)
-    hits = spark.read.parquet(f"{path}/postings").filter(wanted if terms else F.lit(False))
+    hits = spark.read.schema(POSTINGS).parquet(f"{path}/postings").filter(wanted if terms else F.lit(False))
     df = hits.groupBy("field", "term").agg(F.sum("refs").alias("df"))  # a row for each field and term of the query
     sizes = spark.createDataFrame([(r.field, r.docs, (r.words or 0) / max(1, r.docs)) for r in fields], "field int, docs long, avgdl double")
     scored = hits.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(sizes), "field")

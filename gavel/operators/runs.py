@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.plans.tables import checkpointed
+
 BUCKETS = (0.1, 0.5, 1.0, 5.0, 10.0, 30.0, 60.0, 120.0)
 
 
+def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """group and, for each name of ranks, the value at a rank (from 1; a column of n, the group's number of values): exact, nulls left out.
+
+    Values are counted, and the counts dealt into ranges of (group, value); a range's place in its group is the sum of those before it, so no group is sorted in one task.
+    """
+    spark = rows.sparkSession
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_k"))
+    # the ranges come from a sample, so they are fixed by writing them down
+    dealt = checkpointed(counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), group, value).withColumn("_range", F.spark_partition_id()))
+    parts = dealt.groupBy(group, "_range").agg(F.sum("_k").alias("_in"))  # as many rows as ranges and groups together, at most
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "_range", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"), F.sum("_in").over(Window.partitionBy(group)).alias("n"))
+    within = Window.partitionBy(group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = dealt.join(parts, [group, "_range"]).withColumn("_upto", F.col("_before") + F.sum("_k").over(within))
+    picked = [F.max(F.when((F.col("_upto") - F.col("_k") < rank) & (rank <= F.col("_upto")), F.col(value))).alias(name) for name, rank in ranks.items()]
+    return upto.groupBy(group).agg(*picked)
+
+
 def arm_aggregate(rows: DataFrame) -> DataFrame:
     """For each arm: rows, rates, nearest-rank 95th percentile and median of positive durations, and tokens."""
-    positive = F.when(F.col("duration_ms") > 0, F.col("duration_ms"))
-    rank = Window.partitionBy("arm").orderBy(F.col("duration_ms"))
-    ranked = rows.withColumn("_rank", F.row_number().over(rank)).withColumn("_n", F.count("duration_ms").over(Window.partitionBy("arm")))
-    return ranked.groupBy("arm").agg(
+    n = F.col("n")
+    p95 = at_ranks(rows, "arm", "duration_ms", {"p95_ms": F.ceil(n * 0.95)})
+    middle = at_ranks(rows.filter("duration_ms > 0"), "arm", "duration_ms", {"_low": F.floor((n + 1) / 2), "_high": F.ceil((n + 1) / 2)})
+    sums = rows.groupBy("arm").agg(
         F.count("*").alias("n"),
         F.round(F.avg("section_compliance_pass"), 6).alias("compliance_rate"),
         F.round(F.avg("fallback_used"), 6).alias("fallback_rate"),
-        F.max(F.when(F.col("_rank") == F.ceil(F.col("_n") * 0.95), F.col("duration_ms"))).alias("p95_ms"),
-        F.median(positive).alias("median_ms"),
         F.sum("total_tokens").alias("total_tokens"),
     )
+    d = sums.join(p95, "arm", "left").join(middle, "arm", "left")
+    return d.select("arm", "n", "compliance_rate", "fallback_rate", "p95_ms", ((F.col("_low") + F.col("_high")) / 2).alias("median_ms"), "total_tokens")
 
 
 def arm_gates(arms: DataFrame, control: str = "A", treatment: str = "B", compliance_pp: float = 5.0, fallback_pp: float = 5.0, p95_percent: float = 20.0) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A key with more rows than LEAST, and than one in SHARE of all, is hot: there are fewer than SHARE such keys.
 LEAST, SHARE = 10_000, 1000
@@ -56,7 +58,7 @@ def hot_keys(table: DataFrame, key: str, least: int = LEAST) -> DataFrame | None
     per = max(least, total // SHARE)
     counts = table.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > per)
     rows = counts.select(key, F.ceil(F.col("n") / per).cast("int").alias("_parts")).collect()  # fewer than SHARE
-    schema = table.select(key).schema.add("_parts", "int")
+    schema = table.select(key).schema.add("_parts", "integer")
     return table.sparkSession.createDataFrame(rows, schema) if rows else None
 
 
@@ -97,7 +99,9 @@ class Versioned:
     def read(self, version: int | None = None) -> DataFrame:
         found = self._snapshots()
         number, batch = found[-1] if version is None else next(x for x in found if x[0] == version)
-        return self.spark.read.parquet(f"{self.folder}/{number:08d}={batch}")
+        path = f"{self.folder}/{number:08d}={batch}"
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{path}/_schema").first()[0]))
+        return self.spark.read.schema(schema).parquet(path)
 
     def apply(self, batch: str, change, partition_by: tuple[str, ...] = ()) -> bool:
         """Write change(the table, or None at first) as the next snapshot; False, and nothing else, if the batch was applied before."""
@@ -107,7 +111,10 @@ class Versioned:
         if batch in (b for _, b in found):
             return False
         aside = f"{self.folder}/_{uuid.uuid4().hex}"
-        change(self.read() if found else None).write.partitionBy(*partition_by).parquet(aside)
+        rows = change(self.read() if found else None)
+        rows.write.partitionBy(*partition_by).parquet(aside)
+        # an empty table has no file that tells its columns
+        self.spark.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.text(f"{aside}/_schema")
         number = found[-1][0] + 1 if found else 0
         system, path = _path(self.spark, aside)
         if not system.rename(path, _path(self.spark, f"{self.folder}/{number:08d}={batch}")[1]):
