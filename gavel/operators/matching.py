@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel.functions.text import collapse
+from gavel.plans.tables import checkpointed, drop
 
 #: Least ratios of a near-duplicate, of a page's and of an official record's match.
 NEAR_TITLE, PAGE_TITLE, OFFICIAL_TITLE = 92, 88, 85
@@ -48,67 +49,95 @@ def word_sorted(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(c, " ")), " ")
 
 
-#: A document's items go to so many tasks at most, each with the titles they are compared with.
-PARTS = 16
+def _prefixes(titles: DataFrame, key: str, counts: DataFrame, least: float) -> DataFrame:
+    """key, id, size, gram of each title's rarest pairs of letters: one more than could all be missing in a title that is alike enough."""
+    every = _grams(titles, key).join(counts, [key, "gram"]).groupBy(key, "id", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    return every.select(key, "id", "size", F.explode(F.slice("grams", F.lit(1), 2 * _missing(F.col("size"), least) + 1)).alias("g")).select(key, "id", "size", "g.gram")
 
 
-def best_titles(items: DataFrame, references: DataFrame, key: str, least: float, above: bool = False) -> DataFrame:
-    """key, item, reference, ratio: of each item (key, item, title) the most alike reference title (key, item, title) of the same document, the first among equals, at least least (or above it).
+def _grams(titles: DataFrame, key: str) -> DataFrame:
+    letters = F.when(F.col("size") > 1, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("size") - 1)), lambda i: F.substring("title", i, F.lit(2)))).otherwise(F.array("title"))
+    return titles.select(key, "id", "size", F.explode(F.array_distinct(letters)).alias("gram"))
+
+
+def _missing(size: Column, least: float) -> Column:
+    """How many letters of a title of some size may be missing in a title of ratio least at least."""
+    return F.floor(size * (200 - 2 * least) / (200 - least) + 1e-9).cast("int")
+
+
+def similar_titles(left: DataFrame, right: DataFrame, key: str, least: float, later: bool = False) -> DataFrame:
+    """key, a, b, ratio: pairs of titles (key, id, title; word-sorted, not empty) of one document whose ratio is at least least; with later, only those where b > a.
 
-    Titles of the same words are matched by a join. Only the others are compared, with each title once.
+    Titles that are alike enough share one of their rarest pairs of letters, and their sizes are near; only such pairs are compared. A title of so few different pairs that all
+    may be missing meets the titles of its document of a fitting size. Joins are on the document and the letters, so a large document is work for many tasks.
     """
-    words = word_sorted(collapse(F.col("title")))
-    r = references.select(key, "item", words.alias("title")).filter("title <> ''").groupBy(key, "title").agg(F.min("item").alias("reference"))
-    d = items.select(F.col(key).cast("long").alias(key), F.col("item").cast("long").alias("item"), words.alias("title")).filter("title <> ''")
-    same = d.join(r, [key, "title"]).select(key, "item", "reference", F.lit(100.0).alias("ratio"))
-    rest = d.join(same.select(key, "item"), [key, "item"], "left_anti").groupBy(key, F.pmod(F.xxhash64("item"), F.lit(PARTS))).agg(F.collect_list(F.struct("item", "title")).alias("items"))
-    titles = r.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("reference", "title"))).alias("titles"))  # a document's own
+    if least <= 50:
+        raise ValueError("the filter needs a ratio over 50")
+    sized = lambda df: df.select(key, "id", "title", F.length("title").alias("size"))
+    a, b = sized(left), sized(right)
+    counts = _grams(b, key).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    ours, theirs = _prefixes(a, key, counts, least), _prefixes(b, key, counts, least)
+    fits = 200 * F.least("size", "size_b") >= least * (F.col("size") + F.col("size_b"))
+    pairs = ours.withColumnRenamed("id", "a").join(theirs.select(key, "gram", F.col("id").alias("b"), F.col("size").alias("size_b")), [key, "gram"]).filter(fits).select(key, "a", "b")
+    kinds = lambda df: _grams(df, key).groupBy(key, "id", "size").agg(F.count("*").alias("kinds")).filter(F.col("kinds") <= 2 * _missing(F.col("size"), least))
+    reach = F.sequence(F.ceil(F.col("size") * least / (200 - least)).cast("int"), F.floor(F.col("size") * (200 - least) / least).cast("int"))
+    few_a = kinds(a).select(key, F.col("id").alias("a"), F.explode(reach).alias("size")).join(b.select(key, F.col("id").alias("b"), "size"), [key, "size"])
+    few_b = kinds(b).select(key, F.col("id").alias("b"), F.explode(reach).alias("size")).join(a.select(key, F.col("id").alias("a"), "size"), [key, "size"])
+    pairs = pairs.unionByName(few_a.select(key, "a", "b")).unionByName(few_b.select(key, "a", "b"))
+    pairs = (pairs.filter("b > a") if later else pairs).distinct()
+    both = pairs.join(a.select(key, F.col("id").alias("a"), F.col("title").alias("title_a")), [key, "a"]).join(b.select(key, F.col("id").alias("b"), F.col("title").alias("title_b")), [key, "b"])
+    kind = both.select(key, "a", "b").schema.add("ratio", "double")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out: list[tuple] = []
-            for k, own, refs in zip(*(batch.column(j).to_pylist() for j in range(3)), strict=True):
-                for x in own:
-                    best = max(((ratio(x["title"], y["title"], least), -n) for n, y in enumerate(refs)), default=(0.0, 0))
-                    if best[0] > least or (best[0] == least and not above):
-                        out.append((k, x["item"], refs[-best[1]]["reference"], round(best[0], 6)))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=[key, "item", "reference", "ratio"])
+            found = [ratio(x, y, least) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(found, pa.float64())], names=[key, "a", "b", "ratio"])
 
-    compared = rest.join(titles, key).select(key, "items", "titles")
-    return same.unionByName(compared.mapInArrow(run, f"{key} long, item long, reference long, ratio double"))
+    return both.select(key, "a", "b", "title_a", "title_b").mapInArrow(run, kind).filter(F.col("ratio") >= least)
 
 
-def near_titles(items: DataFrame, key: str = "catalog_id", least: float = NEAR_TITLE) -> DataFrame:
-    """key, item_order, group_order: each item's group, named by the group's first item; a title joins the first group whose first title it resembles.
+def best_titles(items: DataFrame, references: DataFrame, key: str, least: float, above: bool = False) -> DataFrame:
+    """key, item, reference, ratio: of each item (key, item, title) the most alike reference title (key, item, title) of the same document, the first among equals, at least least (or above it).
 
-    Items of the same words are one before they are compared, so that the greedy pass is over a document's distinct titles.
+    Titles of the same words are matched by a join. Only the others are compared, with the titles that may be alike.
     """
-    d = items.select(F.col(key).cast("long").alias(key), F.col("item_order").cast("long").alias("item_order"), word_sorted(F.lower(collapse(F.col("title")))).alias("title")).filter("title <> ''")
-    distinct = d.groupBy(key, "title").agg(F.min("item_order").alias("first"))
-    lists = distinct.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", "title"))).alias("titles"))  # a document's own
+    words = word_sorted(collapse(F.col("title")))
+    r = checkpointed(references.select(key, "item", words.alias("title")).filter("title <> ''").groupBy(key, "title").agg(F.min("item").alias("reference")))
+    d = checkpointed(items.select(F.col(key).cast("long").alias(key), F.col("item").cast("long").alias("item"), words.alias("title")).filter("title <> ''"))
+    same = d.join(r, [key, "title"]).select(key, "item", "reference", F.lit(100.0).alias("ratio"))
+    rest = d.join(r, [key, "title"], "left_anti").select(key, F.col("item").alias("id"), "title")
+    alike = similar_titles(rest, r.select(key, F.col("reference").alias("id"), "title"), key, least)
+    alike = (alike.filter(F.col("ratio") > least) if above else alike).groupBy(key, F.col("a").alias("item")).agg(F.max(F.struct("ratio", (-F.col("b")).alias("b"))).alias("best"))
+    return same.unionByName(alike.select(key, "item", (-F.col("best.b")).alias("reference"), F.round("best.ratio", 6).alias("ratio")))
 
-    def run(batches):
-        import pyarrow as pa
 
-        for batch in batches:
-            keys, firsts, groups = [], [], []
-            for k, titles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                heads: list[tuple[int, str]] = []
-                for x in titles:
-                    head = next((f for f, t in heads if ratio(x["title"], t, least) >= least), None)
-                    if head is None:
-                        heads.append((x["first"], x["title"]))
-                        head = x["first"]
-                    keys.append(k)
-                    firsts.append(x["first"])
-                    groups.append(head)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(firsts, pa.int64()), pa.array(groups, pa.int64())], names=[key, "first", "group_order"])
-
-    grouped = lists.mapInArrow(run, f"{key} long, first long, group_order long")
-    return d.join(distinct, [key, "title"]).join(grouped, [key, "first"]).select(key, "item_order", "group_order")
+def near_titles(items: DataFrame, key: str = "catalog_id", least: float = NEAR_TITLE) -> DataFrame:
+    """key, item_order, group_order: each item's group, named by the group's first item; a title joins the first group whose first title it resembles.
+
+    Items of the same words are one before they are compared. Which titles begin groups is settled in rounds: one that resembles no earlier title in question
+    does, and those that resemble it do not; a table of the titles still in question is written after each.
+    """
+    d = checkpointed(items.select(F.col(key).cast("long").alias(key), F.col("item_order").cast("long").alias("item_order"), word_sorted(F.lower(collapse(F.col("title")))).alias("title")).filter("title <> ''"))
+    distinct = d.groupBy(key, "title").agg(F.min("item_order").alias("id"))
+    edges = checkpointed(similar_titles(distinct, distinct, key, least, later=True).select(key, "a", "b"))
+    rest, heads = edges, edges.select(key, F.col("a").alias("head")).limit(0)
+    while not rest.isEmpty():
+        first = rest.select(key, "a").distinct().join(rest.select(key, F.col("b").alias("a")).distinct(), [key, "a"], "left_anti")
+        joined = rest.join(first, [key, "a"], "left_semi").select(key, "b").distinct()
+        heads = heads.unionByName(checkpointed(first.select(key, F.col("a").alias("head"))))
+        gone = joined.select(key, F.col("b").alias("a"))
+        left = rest.join(first, [key, "a"], "left_anti").join(gone, [key, "a"], "left_anti").join(joined, [key, "b"], "left_anti").select(key, "a", "b")
+        # a title whose earlier likenesses are all in groups begins one, though nothing in question is like it any more
+        freed = rest.select(key, "b").distinct().join(joined, [key, "b"], "left_anti").join(left.select(key, "b").distinct(), [key, "b"], "left_anti")
+        freed = freed.join(left.select(key, F.col("a").alias("b")).distinct(), [key, "b"], "left_anti")
+        heads = heads.unionByName(checkpointed(freed.select(key, F.col("b").alias("head"))))
+        left = checkpointed(left)
+        drop(rest if rest is not edges else None)
+        rest = left
+    grouped = edges.join(heads.select(key, F.col("head").alias("a")), [key, "a"], "left_semi").groupBy(key, F.col("b").alias("id")).agg(F.min("a").alias("group_order"))
+    return d.join(distinct, [key, "title"]).join(grouped, [key, "id"], "left").select(key, "item_order", F.coalesce("group_order", "id").alias("group_order"))
 
 
 def semantic_rows(star: DataFrame, items: DataFrame, chunks: Callable) -> DataFrame:

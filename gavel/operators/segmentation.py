@@ -21,6 +21,7 @@ from gavel.operators.matching import near_titles
 from gavel.operators.scores import accepted_item, computed, is_human_name, is_tabular, substance_score
 from gavel.operators.summaries import OTHERS, is_line_fragment, is_segment_noise
 from gavel.operators.titles import is_contact, is_procedural, model_items, title_key
+from gavel.plans.tables import checkpointed
 
 #: Page marks, numbered lines, votes, and what ends a title that goes on over lines.
 PAGE_MARK = r"\[PAGE\s+(\d+)\]"
@@ -288,6 +289,7 @@ def judged(found: DataFrame, key: str) -> DataFrame:
 
 def merged_items(items: DataFrame, key: str) -> DataFrame:
     """items without those whose titles resemble an earlier one's: of each group the one on the latest page, then of the most substance, the longest description, the first."""
+    items = checkpointed(items)
     keyed = items.withColumn("_key", title_key(F.col("title")))
     groups = near_titles(keyed.select(key, "item_order", F.col("_key").alias("title")), key, SAME_TITLE)
     best = F.struct(F.coalesce("page_number", F.lit(0)), substance_score(F.col("title"), F.col("description")), F.length("description"), -F.col("item_order"))

@@ -157,6 +157,25 @@ def test_title_ratio_and_greedy_groups(spark):
             assert best[i] == pytest.approx(top)
 
 
+@pytest.mark.parametrize("least", [85, 88, 92])
+def test_no_similar_pair_is_missed(spark, least):
+    import random
+
+    from gavel.operators import matching
+
+    rng = random.Random(least)
+    titles = ["aaaaaaaa", "aaaaaaa", "abababab", "ababababa", "x", "xy", "éa", "aé"] + ["".join(rng.choice("ab c") for _ in range(rng.randint(1, 24))).strip() or "q" for _ in range(120)]
+    for _ in range(150):
+        t = list(rng.choice(titles))
+        for _ in range(rng.randint(1, 3)):
+            t.insert(rng.randint(0, len(t)), rng.choice("abz")) if rng.random() < 0.5 or len(t) < 2 else t.pop(rng.randrange(len(t)))
+        titles.append("".join(t))
+    rows = spark.createDataFrame([(i % 2, i, t) for i, t in enumerate(titles)], "k long, id long, title string")
+    found = {(r.a, r.b): r.ratio for r in matching.similar_titles(rows, rows, "k", least, later=True).collect()}
+    want = {(i, j): matching.ratio(titles[i], titles[j], 0) for i in range(len(titles)) for j in range(i + 2, len(titles), 2)}
+    assert found == {p: pytest.approx(x) for p, x in want.items() if x >= least}
+
+
 def test_bad_content_claims_and_answers(spark):
     from gavel.operators import titles
 
