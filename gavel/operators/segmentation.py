@@ -173,19 +173,23 @@ def _ends_here(lines: Column, i: Column, ahead: Column) -> Column:
 
 def agenda_pages(paged: DataFrame, key: str) -> DataFrame:
     """The pages up to the one in which the agenda ends, that one up to the line that ends it."""
-    lines = F.split("content", "\n")
-    at = F.when(F.col("ahead").isNotNull(), F.array_min(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _ends_here(lines, i, F.col("ahead")))))
-    d = computed(paged, _end=at)
+    # lines are a column, as inside a lambda they would be split for each of them; where none may end the agenda there are none
+    lines = F.col("_split")
+    d = computed(paged, _split=F.when(F.col("ahead").isNotNull(), F.split("content", "\n")))
+    d = computed(d, _end=F.array_min(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _ends_here(lines, i, F.col("ahead")))))
     cut = F.when(F.col("_end") == 0, "").when(F.col("_end").isNotNull(), F.concat(F.array_join(F.slice(lines, F.lit(1), F.col("_end")), "\n"), F.lit("\n"))).otherwise(F.col("content"))
     ended = d.filter("_end IS NOT NULL").groupBy(key).agg(F.min("page_no").alias("_last"))  # documents that end before their text does
     return d.join(ended, key, "left").filter("_last IS NULL OR page_no <= _last").select(key, "page_no", "page_number", cut.alias("content"))
 
 
-def _numbered(content: Column) -> Column:
-    """The numbered lines of a page: marker, title, title with what goes on below it, vote, and whether the line is a part of a recommendation."""
-    p = _java(NUMBERED)
-    whole, markers, names = (F.regexp_extract_all(content, F.lit(p), F.lit(g)) for g in range(3))
-    gaps = F.split(content, p, -1)
+def _numbered(paged: DataFrame) -> DataFrame:
+    """paged with _lines, the numbered lines of a page: marker, title, title with what goes on below it, vote, and whether the line is a part of a recommendation."""
+    content, p = F.col("content"), _java(NUMBERED)
+    # worked out as columns: inside a lambda they would be for each line
+    paged = computed(paged, _any=content.rlike(p))
+    found = {f"_m{g}": F.when(F.col("_any"), F.regexp_extract_all(content, F.lit(p), F.lit(g))) for g in range(3)}
+    paged = computed(paged, **found, _gaps=F.when(F.col("_any"), F.split(content, p, -1)))
+    whole, markers, names, gaps = "_m0", "_m1", "_m2", "_gaps"
 
     def row(x: Column, i: Column) -> Column:
         # what stands before the line: at most 57 numbered lines lie within 500 characters
@@ -209,7 +213,7 @@ def _numbered(content: Column) -> Column:
             nested.alias("nested"),
         )
 
-    return F.when(content.rlike(p), F.transform(whole, row)).otherwise(F.array().cast(_ROW))
+    return computed(paged, _lines=F.coalesce(F.transform(whole, row), F.array().cast(_ROW))).drop("_any", "_gaps", *found)
 
 
 def _paragraphs(content: Column) -> Column:
@@ -232,13 +236,13 @@ def _paragraphs(content: Column) -> Column:
 
 def candidates(paged: DataFrame, key: str) -> DataFrame:
     """key, page_no, page_number, pos, numbered, top, title, description, result, first_reason and later_reason: every candidate, and why it is no item before, and after, the first item of the top level (null if it is one)."""
-    d = computed(paged, _lines=_numbered(F.col("content")))
+    d = _numbered(paged)
     n = F.size("_lines")
     share = lambda rule: F.size(F.filter("_lines", lambda x: rule(x.title))) / n
     noisy = F.when(n >= 4, share(lambda t: is_noise_title(t) | is_segment_noise(t)) >= 0.5).otherwise(False)
     d = computed(d, _by_number=(n > 0) & ~noisy)
     names = F.when(n >= 5, share(is_person) >= 0.5).otherwise(False) | _any_of(F.lower("content"), SPEAKERS)
-    d = d.withColumn("_names", F.when(F.col("_by_number"), names)).withColumn("_rows", F.when(F.col("_by_number"), F.col("_lines")).otherwise(_paragraphs(F.col("content"))))
+    d = computed(d, _names=F.when(F.col("_by_number"), names), _rows=F.when(F.col("_by_number"), F.col("_lines")).otherwise(_paragraphs(F.col("content"))))
     d = d.select(key, "page_no", "page_number", "_names", F.posexplode("_rows").alias("pos", "r")).select(key, "page_no", "page_number", "_names", "pos", "r.*")
     d = _cleaned(d)
     name, title, about, numbered = (F.col(c) for c in ("_name", "title", "about", "numbered"))
