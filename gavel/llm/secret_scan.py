@@ -59,32 +59,48 @@ WEAK = f"({IDENTIFIER})|({SECRET})|({ENDPOINT})"
 BLANK_LINE = r"\n[\x20\x09\x0D]*\n"
 
 
-def _matches(text: Column, pattern: str, kind: Column, good) -> Column:
-    """An array of (kind, n, gap, size, good): the matches in order, with the length of what lies before each since the last."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    none = F.array().cast("array<struct<kind:int,n:int,gap:int,size:int,good:boolean>>")
-    rows = F.transform(found, lambda x, i: F.struct(kind(i).cast("int").alias("kind"), i.alias("n"), F.get(gaps, i).alias("gap"), F.length(x).alias("size"), good(x, i).alias("good")))
-    return F.when(text.rlike(pattern), rows).otherwise(none)
+#: The matchers: the pattern and the kind of each.
+_MATCHERS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "weak": WEAK, "break": BLANK_LINE}
+_NONE = "array<struct<kind:int,n:int,gap:int,size:int,good:boolean>>"
+
+
+def _columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns, each worked out once: a generator keeps Spark from putting the expressions in the place of each use, as inside a lambda, where they would be for each match."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
+def _matches(name: str, kind, good) -> Column:
+    """An array of (kind, n, gap, size, good): a matcher's matches in order, with the length of what lies before each since the last."""
+    gaps = f"_gaps_{name}"
+    return F.transform(f"_found_{name}", lambda x, i: F.struct(kind(i).cast("int").alias("kind"), i.alias("n"), F.get(gaps, i).alias("gap"), F.length(x).alias("size"), good(x, i).alias("good")))
 
 
 def _candidates(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_row, key and a match each; a row without kind for a text that has none."""
-    t, yes = F.col("_text"), lambda x, i: F.lit(True)
-    values = F.regexp_extract_all(t, F.lit(ASSIGN), F.lit(2))
-    assign = _matches(t, ASSIGN, lambda i: F.lit(0), lambda x, i: F.length(F.get(values, i)) >= LEAST_VALUE)
-    groups = [F.regexp_extract_all(t, F.lit(WEAK), F.lit(g)) for g in (1, 2)]
-    kind = lambda i: F.when(F.get(groups[0], i) != "", 3).when(F.get(groups[1], i) != "", 4).otherwise(5)
-    mixed = lambda x: x.rlike("[:=]|\\.") | (x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]"))
-    weak = _matches(t, WEAK, kind, lambda x, i: (kind(i) != 4) | mixed(x))
-    breaks = _matches(t, BLANK_LINE, lambda i: F.lit(_BREAK), yes)
-    secret = t.rlike(SECRET) | t.rlike(HEX)
-    linked = secret & (t.rlike(IDENTIFIER) | t.rlike(ENDPOINT))
-    strong = [assign, _matches(t, ACCESS, lambda i: F.lit(1), yes), _matches(t, HEX, lambda i: F.lit(2), yes)]
-    none = F.array().cast("array<struct<kind:int,n:int,gap:int,size:int,good:boolean>>")
-    found = F.concat(*strong, F.when(linked, F.concat(weak, breaks)).otherwise(none))
+    t = F.col("_text")
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    return rows.select("_row", "_key", F.explode_outer(found).alias("m")).select("_row", "_key", "m.*")
+    linked = (t.rlike(SECRET) | t.rlike(HEX)) & (t.rlike(IDENTIFIER) | t.rlike(ENDPOINT))
+    # weak candidates and blank lines are located only where there may be something to link
+    rows = _columns(rows, {"_linked": linked})
+    rows = _columns(rows, {f"_has_{n}": t.rlike(p) if n in KINDS else F.col("_linked") & t.rlike(p) for n, p in _MATCHERS.items()})
+    found = {f"_found_{n}": F.when(F.col(f"_has_{n}"), F.regexp_extract_all(t, F.lit(p), F.lit(0))) for n, p in _MATCHERS.items()}
+    found |= {f"_gaps_{n}": F.when(F.col(f"_has_{n}"), F.transform(F.split(t, p, -1), lambda x: F.length(x))) for n, p in _MATCHERS.items()}
+    groups = {"_value": ("assign", ASSIGN, 2), "_one": ("weak", WEAK, 1), "_two": ("weak", WEAK, 2)}
+    found |= {c: F.when(F.col(f"_has_{n}"), F.regexp_extract_all(t, F.lit(p), F.lit(g))) for c, (n, p, g) in groups.items()}
+    rows = _columns(rows, found)
+    weak = lambda i: F.when(F.get("_one", i) != "", 3).when(F.get("_two", i) != "", 4).otherwise(5)
+    mixed = lambda x: x.rlike("[:=]|\\.") | (x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]"))
+    fixed = lambda k: (lambda i: F.lit(k))
+    yes = lambda x, i: F.lit(True)
+    lists = [
+        _matches("assign", fixed(0), lambda x, i: F.length(F.get("_value", i)) >= LEAST_VALUE),
+        _matches("access", fixed(1), yes),
+        _matches("hex", fixed(2), yes),
+        _matches("weak", weak, lambda x, i: (weak(i) != 4) | mixed(x)),
+        _matches("break", fixed(_BREAK), yes),
+    ]
+    every = F.concat(*[F.coalesce(c, F.array().cast(_NONE)) for c in lists])
+    return rows.select("_row", "_key", F.explode_outer(every).alias("m")).select("_row", "_key", "m.*")
 
 
 def _located(candidates: DataFrame) -> DataFrame:
