@@ -66,7 +66,7 @@ def noise(c: str) -> str:
     low = LOW_LINE.format(c)
     return (
         "(regexp_matches(" + low + ", " + quoted("|".join(summaries.LINKS) + "|" + summaries.pattern(summaries.ATTENDANCE) + "|" + summaries.pattern(summaries.FRAGMENTS) + "|" + "|".join(summaries.OTHERS)) + ") OR regexp_matches(regexp_replace(" + low + ", '[^a-z0-9]+', '', 'g'), "
-        + quoted("|".join(summaries.compact(summaries.FRAGMENTS))) + ") OR (contains(" + low + ", 'you may enter') AND regexp_matches(" + low + ", 'designation|resident')))"
+        + quoted(summaries.pattern(summaries.compact(summaries.FRAGMENTS))) + ") OR (contains(" + low + ", 'you may enter') AND regexp_matches(" + low + ", 'designation|resident')))"
     )
 
 

@@ -91,15 +91,15 @@ def _trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-def is_noise_title(title: Column) -> Column:
-    """Titles that name no item: short ones, procedure, contacts, links, times and places, notices, spaced letters."""
+def is_noise_title(title: Column, notices: bool = True) -> Column:
+    """Titles that name no item: short ones, procedure, contacts, links, times and places, notices (if those are not known already), spaced letters."""
     t = collapse(title)
     low = F.lower(t)
     words = F.split(low, " ")
     spaced = F.size(F.filter(words, lambda w: w.rlike(r"^\p{L}$"))) / F.size(words) >= 0.6
     short = (low.endswith(":") & (F.length(low) <= 45)) | (low.contains("as follows") & (F.length(low) <= 40))
     patterns = low.rlike("|".join((*NOISE_PATTERNS, OTHERS[3])))
-    return (F.length(low) < 10) | is_procedural(low) | is_contact(low) | patterns | spaced | t.rlike(DATE_LINE) | short | _any_of(low, NOISE_PHRASES) | is_segment_noise(low)
+    return (F.length(low) < 10) | is_procedural(low) | is_contact(low) | patterns | spaced | t.rlike(DATE_LINE) | short | _any_of(low, NOISE_PHRASES) | (is_segment_noise(low) if notices else F.lit(False))
 
 
 def is_person(title: Column) -> Column:
@@ -165,7 +165,7 @@ def _ends_here(lines: Column, i: Column, ahead: Column) -> Column:
 
     def item(x: Column) -> Column:
         t = _trimmed(x)
-        return ~(is_noise_title(t) | is_person(t) | F.lower(t).rlike(LEGAL_TITLE) | is_procedural(t) | is_contact(t) | is_segment_noise(t))
+        return ~(is_noise_title(t) | is_person(t) | F.lower(t).rlike(LEGAL_TITLE))
 
     goes_on = F.when(line.contains("adjournment"), _any_of(window, SUBSTANCE_AFTER)).otherwise(F.exists(after, item))
     return line.rlike("|".join(END_LINES)) & (tails >= 2) & ~goes_on
@@ -239,7 +239,7 @@ def candidates(paged: DataFrame, key: str) -> DataFrame:
     d = _numbered(paged)
     n = F.size("_lines")
     share = lambda rule: F.size(F.filter("_lines", lambda x: rule(x.title))) / n
-    noisy = F.when(n >= 4, share(lambda t: is_noise_title(t) | is_segment_noise(t)) >= 0.5).otherwise(False)
+    noisy = F.when(n >= 4, share(is_noise_title) >= 0.5).otherwise(False)
     d = computed(d, _by_number=(n > 0) & ~noisy)
     names = F.when(n >= 5, share(is_person) >= 0.5).otherwise(False) | _any_of(F.lower("content"), SPEAKERS)
     d = computed(d, _names=F.when(F.col("_by_number"), names), _rows=F.when(F.col("_by_number"), F.col("_lines")).otherwise(_paragraphs(F.col("content"))))
@@ -253,7 +253,7 @@ def candidates(paged: DataFrame, key: str) -> DataFrame:
     unfit = ~numbered & (~F.length(name).between(11, 149) | _any_of(low, PARAGRAPH_BLOCKERS) | low.startswith("item #") | F.col("_person"))
     d = computed(
         d, top=F.coalesce(top, F.lit(False)), _nested=F.coalesce(nested, F.lit(False)), _passed=F.coalesce(passed, F.lit(False)), _unfit=unfit, _fragment=is_line_fragment(title),
-        _table=is_tabular(title, about, F.lit(False)), _part=is_tabular(title, about, F.lit(True)), _notice=is_segment_noise(title), _noise=is_noise_title(title),
+        _table=is_tabular(title, about, F.lit(False)), _part=is_tabular(title, about, F.lit(True)), _notice=is_segment_noise(title), _noise=is_noise_title(title, notices=False),  # asked after notices
     )
 
     def reason(parent: bool) -> Column:

@@ -48,7 +48,11 @@ ADVICE = ("- Review the extracted minutes for the authoritative meeting details.
 
 
 def pattern(words) -> str:
-    return "|".join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)
+    """A pattern that is found where any of the words is, with common beginnings in common: a text's every place is tried for each first letter, not for each word."""
+    if "" in words:
+        return ""
+    ways = [re.sub(r"([^\w\s])", r"\\\1", c) + pattern([w[1:] for w in words if w[0] == c]) for c in dict.fromkeys(w[0] for w in words)]
+    return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
 
 
 def compact(words) -> tuple[str, ...]:
@@ -64,7 +68,7 @@ def is_segment_noise(line: Column) -> Column:
     """Lines that become no item: attendance, notices, instructions, end points of calls, also when their words run together."""
     low = F.lower(F.trim(line))
     asked = low.contains("you may enter") & low.rlike("designation|resident")
-    return is_attendance(line) | low.rlike(pattern(FRAGMENTS) + "|" + "|".join(OTHERS)) | F.regexp_replace(low, "[^a-z0-9]+", "").rlike("|".join(compact(FRAGMENTS))) | asked
+    return is_attendance(line) | low.rlike(pattern(FRAGMENTS) + "|" + "|".join(OTHERS)) | F.regexp_replace(low, "[^a-z0-9]+", "").rlike(pattern(compact(FRAGMENTS))) | asked
 
 
 def is_line_fragment(title: Column) -> Column:
