@@ -4,8 +4,10 @@ Each page's containers get a score from the text of the blocks in them, less
 their links. From the best one the page climbs to the article or main around it, or
 else to the container that holds nearly all text and every h1, and votes for the
 generalised tag-class path of that; Spark counts the votes of each host, and every page is then read again
-at its host's winning path. A page where that path has no text uses its own best
-container.
+at its host's winning path. A page where that path has no text, or less than half of
+what its own best container has (a teaser), uses that container. An article, or
+main, of nothing but links is taken with them. Of several articles side by side
+without a main around them, the one with most text is the article.
 
 Dropped everywhere: navigation, headers outside the article, footers, asides,
 forms, scripts, styles, hidden parts, and elements that a class, id or role names
@@ -53,6 +55,8 @@ MOST = 0.5
 #: An open element that a new one of the same group ends.
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)/?>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^<>]*\Z|<[a-zA-Z][^>]*>|[^<]+|<", re.S)
+#: What follows the last ">" of a page: no tag ends there, so none is looked for. (The groups are those of _TOKEN.)
+_TAIL = re.compile(r"<!--.*\Z|<[!?].*\Z|</?[a-zA-Z][^<]*\Z|[^<]+|<|(?!)()()()", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|style|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?", re.I)
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
@@ -120,7 +124,7 @@ class Page:
         stack: list[tuple[str, int, list[str], dict[str, int]]] = [("", 0, [], {})]
         opened: dict[str, int] = {}
         buf: list[str] = []
-        in_link, link_chars, pos, n = 0, 0, 0, len(html)
+        in_link, link_chars, pos, n, ends = 0, 0, 0, len(html), html.rfind(">") + 1
 
         def flush() -> None:
             nonlocal link_chars
@@ -139,7 +143,7 @@ class Page:
             return tag
 
         while pos < n:
-            m = _TOKEN.match(html, pos)
+            m = (_TOKEN if pos < ends else _TAIL).match(html, pos)
             pos = m.end()
             tag, end = m[1], m[3]
             if tag:
@@ -151,7 +155,7 @@ class Page:
                         flush()
                     continue
                 if tag in RAW:
-                    close_tag = re.compile(rf"</{tag}[^>]*>", re.I).search(html, pos)
+                    close_tag = re.compile(rf"</{tag}[^>]*>", re.I).search(html, pos, ends)
                     pos = close_tag.end() if close_tag else n
                     continue
                 if tag in INLINE:
@@ -187,15 +191,16 @@ class Page:
                     link_chars += len(text.strip())
         flush()
 
-    def best(self) -> tuple[int, float]:
-        """The container of the article, and the text of all blocks in it less their links.
+    def best(self, links_cost: int = 2) -> tuple[int, float]:
+        """The container of the article, and the text of all blocks in it less their links (taken off links_cost times).
 
         From the container with the highest score (text of its blocks less their links, and half of the containers in it): the outermost article around it, else the outermost main, else the next container that holds nearly all the page's text, every h1, and not only containers unless it is the body.
         """
-        whole = self.sums(lambda at, text, links: max(0, len(text) - 2 * links))
-        heads = self.sums(lambda at, text, links: self.tag[at] == "h1" and len(text) > 2 * links)
+        whole = self.sums(lambda at, text, links: max(0, len(text) - links_cost * links))
+        heads = self.sums(lambda at, text, links: self.tag[at] == "h1" and len(text) > links_cost * links)
         if not whole[0]:
-            return -1, 0.0
+            # an article may consist of links; a page of links without one has no text
+            return self.best(0) if links_cost and any(t in ("article", "main") for t in self.tag) else (-1, 0.0)
         # of each element the container that it is or is in
         container = [0] * len(self.parent)
         for i in range(1, len(container)):
@@ -203,7 +208,7 @@ class Page:
         score: dict[int, float] = {}
         own: set[int] = set()  # containers with blocks outside inner containers
         for at, text, links in self.blocks:
-            if self.dropped[at] or (value := len(text) - 2 * links) <= 0:
+            if self.dropped[at] or (value := len(text) - links_cost * links) <= 0:
                 continue
             at = container[at]
             if self.tag[at] not in ("", "html", "body"):
@@ -236,10 +241,11 @@ class Page:
 
 def _extract(html: str, path: str | None) -> str:
     page = Page(html)
-    if path is not None and (text := page.text(lambda i: page.path[i] == path)):
-        return text
     at, _ = page.best()
-    return page.text(lambda i: i == at) if at >= 0 else ""
+    own = page.text(lambda i: i == at) if at >= 0 else ""
+    if path is not None and (text := page.text(lambda i: page.path[i] == path)) and len(text) > MOST * len(own):
+        return text
+    return own
 
 
 def _host(url: str):

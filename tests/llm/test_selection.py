@@ -256,3 +256,32 @@ def test_weak_parts_need_a_complement(spark):
     found = {r.doc_id: r.spans for r in secret_scan.digest(docs(spark, texts)).collect()}
     assert [found[i] for i in range(7)] == ["", "", "identifier:0:8,secret:9:26", "", "", "", "identifier:0:8,secret:9:26,endpoint:27:48"]
     assert secret_scan.digest(docs(spark, [])).count() == 0
+
+
+# 9
+
+
+def test_html_without_ends_takes_linear_time():
+    import time
+
+    from gavel.llm import html_extract
+
+    for piece in ("<a ", '<a "', "</a ", "<!-- <b ", "<script>x</script "):
+        began = time.time()
+        html_extract._extract("<p>start</p>" + piece * (1_000_000 // len(piece)), None)
+        assert time.time() - began < 10, piece  # minutes, were it not linear
+
+
+def test_a_teaser_is_not_the_article_and_links_may_be_one(spark):
+    from gavel.llm import html_extract
+
+    story = "".join(f"<p>Paragraph {i} of the story, with a few more words.</p>" for i in range(12))
+    pages = [(i, f"https://h/{i}", f'<div class="c"><h1>T{i}</h1>{story}</div>') for i in range(5)]
+    pages.append((5, "https://h/5", f'<div class="c"><p>Read more soon.</p></div><div class="story"><h1>T</h1>{story}</div>'))
+    pages.append((6, "https://h/6", "<article><p><a href=x>First linked line</a></p><p><a href=y>second</a></p></article>"))
+    pages += [(7, None, '<div><a href="/">menu</a></div>'), (8, "https://h/8", None), (0, "https://h/0", pages[0][2])]
+    found = html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("own"))).collect()
+    text = {r.page_id: r.text for r in found}
+    assert len(found) == len(pages) and text[0].startswith("T0\nParagraph 0") and text[0].count("\n") == 12
+    assert text[5].startswith("T\nParagraph 0") and text[6] == "First linked line\nsecond" and text[7] == text[8] == ""
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
