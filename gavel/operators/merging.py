@@ -57,6 +57,7 @@ def content_projection(catalog: DataFrame) -> DataFrame:
 def blinded_pairs(control: DataFrame, treatment: DataFrame, seed: int, n: int = 20) -> DataFrame:
     """sample_id, catalog_id, option_a_arm: n catalogs that have text in both arms, drawn by a hash of the seed, numbered S001 on by catalog, with the arm that is shown first."""
     both = control.filter(F.coalesce("text", F.lit("")) != "").select("catalog_id").join(treatment.filter(F.coalesce("text", F.lit("")) != "").select("catalog_id"), "catalog_id").distinct()
-    drawn = both.orderBy(F.xxhash64(F.lit(seed), "catalog_id"), "catalog_id").limit(n)
+    drawn_by = lambda s: F.md5(F.concat(F.lit(f"{s}:"), F.col("catalog_id").cast("string")).cast("binary"))
+    drawn = both.orderBy(drawn_by(seed), "catalog_id").limit(n)
     d = drawn.withColumn("_n", F.row_number().over(Window.orderBy("catalog_id")))  # n rows
-    return d.select(F.format_string("S%03d", "_n").alias("sample_id"), "catalog_id", F.when(F.pmod(F.xxhash64(F.lit(seed + 1), "catalog_id"), F.lit(2)) == 0, "A").otherwise("B").alias("option_a_arm"))
+    return d.select(F.format_string("S%03d", "_n").alias("sample_id"), "catalog_id", F.when(F.substring(drawn_by(seed + 1), 1, 1) < "8", "A").otherwise("B").alias("option_a_arm"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gavel.operators import agenda_text, runs
-from gavel.plans.bridge import Tables, twin
+from gavel.plans.bridge import Tables, from_sql, twin
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -56,7 +56,26 @@ def x26_roll_calls(t):
     return agenda_text.roll_calls(t.orders.select(F.col("o_orderkey").alias("id"), text.alias("text")), "id", "text")
 
 
-@query()
+def chunked(rows: str, key: str, text: str) -> str:
+    """SQL of the tables rest_of and chunk (key, chunk_no, chunk): a collapsed text's longest beginning of at most 4,000 characters that ends with a word, five times at most."""
+    within = "substring(rest, 1, 4001)"
+    size = f"CASE WHEN length(rest) <= 4000 THEN length(rest) WHEN contains({within}, ' ') THEN 4001 - position(' ' IN reverse({within})) WHEN contains(rest, ' ') THEN position(' ' IN rest) - 1 ELSE length(rest) END"
+    return (
+        f"rest_of AS (SELECT {key}, rtrim(substring(COLLAPSE(coalesce({text}, '')), 1, 12000)) AS rest FROM {rows}), "
+        f"chunk AS (SELECT {key}, -1 AS chunk_no, '' AS chunk, rest FROM rest_of UNION ALL SELECT {key}, chunk_no + 1, substring(rest, 1, k), substring(rest, k + 2) FROM (SELECT *, {size} AS k FROM chunk WHERE rest <> '' AND chunk_no < 4) x)"
+    )
+
+
+#: Every document's text, some several times over, some with a word longer than a piece.
+LONG = "(SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN concat(text, ' ', text, ' ', text, ' ', text, ' ', text, ' ', text) WHEN 1 THEN concat('a ', repeat('x', 4500), ' ', text) WHEN 2 THEN replace(text, ' ', '  ') ELSE text END AS text FROM {documents} d)"
+
+
+@query("WITH RECURSIVE " + chunked(LONG + " l", "doc_id", "text") + " SELECT doc_id, chunk_no, chunk FROM chunk WHERE chunk_no >= 0")
+def x4_long_chunks(t):
+    return from_sql(t, "SELECT * FROM " + LONG + " l").select("doc_id", F.posexplode(agenda_text.chunks(F.col("text"))).alias("chunk_no", "chunk"))
+
+
+@query("WITH RECURSIVE " + chunked("{documents}", "doc_id", "text") + " SELECT doc_id, chunk_no, chunk FROM chunk WHERE chunk_no >= 0")
 def x4_chunks(t):
     return t.documents.select("doc_id", F.posexplode(agenda_text.chunks(F.col("text"))).alias("chunk_no", "chunk"))
 

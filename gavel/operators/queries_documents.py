@@ -224,10 +224,13 @@ def s12_event_log(t):
     return log.groupBy(F.col("event_type").alias("kind"), "phase").agg(F.count("*").alias("n"))
 
 
-@query("SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN p.id IS NULL THEN 'blocked' WHEN EXISTS (SELECT 1 FROM {event} e WHERE e.place_id = p.id AND e.record_date IS NOT DISTINCT FROM s.record_date AND e.name = s.name) OR row_number() OVER (PARTITION BY p.id, s.record_date, s.name ORDER BY s.id) > 1 THEN 'duplicate' ELSE 'promoted' END AS outcome FROM {event_stage} s LEFT JOIN {place} p ON p.ocd_division_id = s.ocd_division_id) o WHERE outcome = 'promoted' GROUP BY 1")
+@query(
+    "SELECT s.id, s.ocd_division_id, CAST(s.record_date AS VARCHAR) AS record_date, s.name, p.id AS place_id FROM {event_stage} s JOIN {place} p ON p.ocd_division_id = s.ocd_division_id WHERE NOT EXISTS (SELECT 1 FROM {event} e WHERE e.place_id = p.id AND e.record_date IS NOT DISTINCT FROM s.record_date AND e.name = s.name) "
+    "QUALIFY row_number() OVER (PARTITION BY p.id, s.record_date, s.name ORDER BY s.id) = 1"
+)
 def m1_promoted_stream(t):
     path = folder(t)
     t.event_stage.write.parquet(f"{path}/stage")
     stream = jobs.parquet_stream(t._spark, f"{path}/stage", t.event_stage.schema)
     jobs.promote_stream(stream, lambda: t.event, t.place, lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/promoted/batch={number}"), f"{path}/checkpoint").awaitTermination()
-    return t._spark.read.parquet(f"{path}/promoted").groupBy(F.lit("promoted").alias("outcome")).agg(F.count("*").alias("n"))
+    return t._spark.read.parquet(f"{path}/promoted").select("id", "ocd_division_id", F.col("record_date").cast("string").alias("record_date"), "name", "place_id")

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from gavel.functions import text as X
 from gavel.operators import matching, records
 from gavel.operators.agenda_text import chunks
+from gavel.operators.queries_agenda import chunked
 from gavel.operators.queries_records import FIRST, QUALITY
 from gavel.operators.queries_search import KIND, QVEC, STAR, star
 from gavel.plans.bridge import Tables, from_sql, twin
@@ -65,6 +66,22 @@ def g6_semantic_rows(t):
     return rows.groupBy("result_type", "db_id", "source_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+#: Items of three catalogs in four, so that some catalogs have neither summary nor items.
+SOME_TEXTS = TEXTS.replace("WHERE length", "WHERE catalog_id % 4 <> 0 AND length")
+
+
+@query(
+    "WITH RECURSIVE s AS (SELECT id, catalog_id, content, substring(COLLAPSE(coalesce(summary, '')), 1, 4000) AS short FROM " + STAR + " x), i AS " + SOME_TEXTS + ", has AS (SELECT DISTINCT catalog_id FROM {agenda_item} a WHERE catalog_id % 4 <> 0), "
+    "bare AS (SELECT DISTINCT catalog_id, content FROM s WHERE length(short) < 20 AND catalog_id NOT IN (SELECT catalog_id FROM has)), " + chunked("bare", "catalog_id", "content") + ", r AS ("
+    "SELECT 'meeting' AS result_type, id AS db_id, 'summary' AS source_type, short AS text FROM s WHERE length(short) >= 20 UNION ALL SELECT 'meeting', s.id, 'agenda_item', i.text FROM s JOIN i ON i.catalog_id = s.catalog_id WHERE length(short) < 20 "
+    "UNION ALL SELECT 'meeting', s.id, 'content_chunk', chunk FROM s JOIN chunk c ON c.catalog_id = s.catalog_id WHERE length(short) < 20 AND chunk_no >= 0 AND length(chunk) >= 20 "
+    "UNION ALL SELECT 'agenda_item', i.item_id, 'agenda_item_result', i.text FROM i WHERE catalog_id IN (SELECT catalog_id FROM s)) SELECT result_type, db_id, source_type, SHA(text) AS text_sha256 FROM r"
+)
+def g6_semantic_texts(t):
+    items = t.agenda_item.filter("catalog_id % 4 <> 0")
+    return matching.semantic_rows(star(t), items, lambda c: chunks(c)).select("result_type", "db_id", "source_type", F.sha2("text", 256).alias("text_sha256"))
+
+
 Q = str(QVEC) + "::DOUBLE[]"
 
 

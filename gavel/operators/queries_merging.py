@@ -56,12 +56,12 @@ def w5_expansion(t):
     return merging.expansion(scored, F.col("lang") == "fr", 60)
 
 
-@query("WITH c AS (SELECT p_partkey AS catalog_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank, p_retailprice / 7 AS score FROM {part} WHERE p_size < 30), p AS (SELECT * FROM c WHERE catalog_id <> 0 ORDER BY rank LIMIT 20 OFFSET 10) SELECT p.catalog_id, p.rank, round(p.score, 6) AS score, k.brand FROM p JOIN {catalog} k ON k.id = p.catalog_id")
+@query("WITH c AS (SELECT p_partkey AS catalog_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS rank, p_retailprice / 7 AS score FROM {part}), p AS (SELECT * FROM c WHERE catalog_id <> 0 ORDER BY rank LIMIT 20 OFFSET 10) SELECT p.catalog_id, p.rank, round(p.score, 6) AS score, k.brand FROM p JOIN {catalog} k ON k.id = p.catalog_id")
 def g8_hydrate(t):
     from pyspark.sql import Window
 
     # only the page is numbered, after a distributed top-k; one row more, as the part with key 0 drops out
-    top = t.part.filter("p_size < 30").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10 + 20 + 1)
+    top = t.part.orderBy(F.desc("p_retailprice"), "p_partkey").limit(10 + 20 + 1)
     c = top.select(F.col("p_partkey").alias("catalog_id"), F.row_number().over(Window.orderBy(F.desc("p_retailprice"), "p_partkey")).alias("rank"), (F.col("p_retailprice") / 7).alias("score"))
     return merging.hydrate(c, t.catalog.select(F.col("id").alias("catalog_id"), "brand"), 20, 10)
 
@@ -79,7 +79,10 @@ def f18_content_projection(t):
     return merging.content_projection(t.catalog)
 
 
-@query()
+@query(
+    "WITH d AS (SELECT id AS catalog_id FROM {catalog} WHERE content <> '' AND summary <> '' ORDER BY md5(concat('7:', CAST(id AS VARCHAR))), id LIMIT 20) "
+    "SELECT format('S{:03d}', row_number() OVER (ORDER BY catalog_id)) AS sample_id, catalog_id, CASE WHEN substring(md5(concat('8:', CAST(catalog_id AS VARCHAR))), 1, 1) < '8' THEN 'A' ELSE 'B' END AS option_a_arm FROM d"
+)
 def w8_blinded_pairs(t):
     c = t.catalog.select(F.col("id").alias("catalog_id"), F.col("content").alias("text"))
     return merging.blinded_pairs(c, t.catalog.select(F.col("id").alias("catalog_id"), F.col("summary").alias("text")), 7)

@@ -101,9 +101,9 @@ def j7_run_window(t):
     return records.run_window_rows(runs_, staged)
 
 
-@query("SELECT DISTINCT url_hash FROM (SELECT l_partkey AS url_hash FROM {lineitem} WHERE l_returnflag = 'A' UNION ALL SELECT p_partkey FROM {part} WHERE p_size > 25) u")
+@query("SELECT DISTINCT url_hash FROM (SELECT l_partkey AS url_hash FROM {lineitem} UNION ALL SELECT p_partkey FROM {part}) u")
 def u6_touched_hashes(t):
-    return records.touched_hashes(t.lineitem.filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("url_hash")), t.part.filter("p_size > 25").select(F.col("p_partkey").alias("url_hash")))
+    return records.touched_hashes(t.lineitem.select(F.col("l_partkey").alias("url_hash")), t.part.select(F.col("p_partkey").alias("url_hash")))
 
 
 @query("SELECT p.name AS place, coalesce(e.n, 0) AS events, coalesce(d.n, 0) AS documents, coalesce(d.c, 0) AS catalogs, coalesce(o.n, 0) AS organizations FROM {place} p LEFT JOIN (SELECT place_id, count(*) AS n FROM {event} GROUP BY 1) e ON e.place_id = p.id LEFT JOIN (SELECT place_id, count(*) AS n, count(DISTINCT catalog_id) AS c FROM {document} d JOIN {event} e ON e.id = d.event_id GROUP BY 1) d ON d.place_id = p.id LEFT JOIN (SELECT place_id, count(*) AS n FROM {organization} GROUP BY 1) o ON o.place_id = p.id")
