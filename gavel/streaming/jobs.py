@@ -42,3 +42,24 @@ def paired(dispatched: DataFrame, finished: DataFrame, timeout: str = "1 hour")
 def parquet_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     """A folder of Parquet files as a stream."""
     return spark.readStream.schema(schema).parquet(path)
+
+
+def append_stream(rows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write what a stream settles as Parquet, once: a restart goes on from the checkpoint."""
+    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def reconciled_pairs(emitted: DataFrame, dispatched: DataFrame, finished: DataFrame, timeout: str = "1 hour") -> DataFrame:
+    """What the stream emitted, and the dispatches that it still holds open, paired from the tables; settled tells which. A late or replayed row is in neither twice."""
+    open_rows = dispatched.join(emitted.select("task_id", "retry"), ["task_id", "retry"], "left_anti")
+    return emitted.withColumn("settled", F.lit(True)).unionByName(paired(open_rows, finished, timeout).withColumn("settled", F.lit(False)))
+
+
+def reconciled_buckets(emitted: DataFrame, spans: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """window, phase, le, n of the windows that the stream closed, and from the table of those that are still open; late is how many more rows the table has than the stream counted."""
+    whole = phase_buckets(spans, width=width)
+    d = whole.withColumnRenamed("n", "_n").join(emitted, ["window", "phase", "le"], "full")
+    last = emitted.agg(F.max("window.end").alias("_last"))  # one row
+    d = d.crossJoin(F.broadcast(last))
+    closed = F.coalesce(F.col("window.end") <= F.col("_last"), F.lit(False))
+    return d.select("window", "phase", "le", F.when(closed, F.coalesce("n", F.lit(0))).otherwise(F.col("_n")).alias("n"), F.when(closed, F.coalesce("_n", F.lit(0)) - F.coalesce("n", F.lit(0))).otherwise(0).alias("late"))

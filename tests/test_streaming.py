@@ -46,3 +46,32 @@ def test_pairing_reports_what_never_ended(spark):
     finished = spark.createDataFrame([(1, 0, at + dt.timedelta(minutes=1)), (2, 1, at), (3, 0, at + dt.timedelta(hours=2))], "task_id long, retry int, ts timestamp")
     found = {r.task_id: r.finished_at is not None for r in jobs.paired(dispatched, finished).collect()}
     assert found == {1: True, 2: False, 3: False}
+
+
+def test_streamed_pairs_and_what_is_still_open(spark, tmp_path):
+    from gavel.operators.queries_streams import delivered
+
+    start = dt.datetime(2024, 1, 1)
+    at = lambda i: start + dt.timedelta(hours=i)
+    begun = spark.createDataFrame([(i, 0, at(i)) for i in range(40)], "task_id long, retry int, ts timestamp")
+    over = spark.createDataFrame([(i, i % 3 // 2, at(i) + dt.timedelta(minutes=200 if i % 7 == 0 else 5)) for i in range(40)], "task_id long, retry int, ts timestamp")
+    part = F.floor(F.col("task_id") / 10)
+    streams = [delivered(rows, part, F.col("task_id") % 2 == 0, str(tmp_path / name)) for name, rows in (("begun", begun), ("over", over))]
+    jobs.append_stream(jobs.paired(*streams), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    emitted = spark.read.parquet(str(tmp_path / "out"))
+    assert emitted.filter("finished_at IS NULL").count() > 5 and emitted.count() == emitted.select("task_id").distinct().count() < 40
+    found = {r.task_id: (r.finished_at is not None) for r in jobs.reconciled_pairs(emitted, begun, over).collect()}
+    assert found == {i: i % 3 != 2 and i % 7 != 0 for i in range(40)}
+
+
+def test_buckets_of_a_stream_tell_what_came_late(spark, tmp_path):
+    from gavel.operators.queries_streams import delivered
+
+    start = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, start + dt.timedelta(minutes=i), "a", 0.3) for i in range(120)], "event_id long, ts timestamp, phase string, duration_s double")
+    lost = F.col("event_id") == 3  # comes with the last file only
+    part = F.when(lost, 3).otherwise(F.floor(F.col("event_id") / 30))
+    stream = delivered(rows, part, F.lit(False), str(tmp_path / "in"))
+    jobs.append_stream(jobs.phase_buckets(stream), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    found = jobs.reconciled_buckets(spark.read.parquet(str(tmp_path / "out")), rows).collect()
+    assert sum(r.n + r.late for r in found) == 120 and [r.late for r in sorted(found, key=lambda r: r.window.start)][:2] == [1, 0]
