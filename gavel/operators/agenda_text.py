@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a page at most, the operator's own limit.
 MOST_ROWS = 40
+#: Fixed value: a line that begins with an item's number.
 ROW_PATTERN = r"(?i)^(?:agenda\s*)?(?:item|section)?\s*(\d{1,2}(?:\.\d+)*|[A-Z]|[IVXLCM]+)[\)\.\-:]\s+(.{6,220})$"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 

@@ -11,13 +11,18 @@ from gavel.operators.records import extraction_state
 from gavel.operators.titles import bad_content
 
 # Words that headings of minutes and agendas are made of.
-LEXICON = frozenset("A AN AND AS AT BY FOR FROM IN IS OF ON OR THE TO WITH WILL THIS THAT AGENDA ANNOTATED CITY COUNCIL MEETING SPECIAL PROCLAMATION CALLING SESSION REGULAR PUBLIC HEARING RESOLUTION ORDINANCE COMMISSION BOARD PLANNING ZONING ITEM CLOSED BERKELEY CUPERTINO PABLO AVENUE CORRIDORS CA".split())
+LEXICON = (
+    "A", "AN", "AND", "AS", "AT", "BY", "FOR", "FROM", "IN", "IS", "OF", "ON", "OR", "THE", "TO", "WITH", "WILL", "THIS", "THAT", "AGENDA",
+    "ANNOTATED", "CITY", "COUNCIL", "MEETING", "SPECIAL", "PROCLAMATION", "CALLING", "SESSION", "REGULAR", "PUBLIC", "HEARING", "RESOLUTION",
+    "ORDINANCE", "COMMISSION", "BOARD", "PLANNING", "ZONING", "ITEM", "CLOSED", "BERKELEY", "CUPERTINO", "PABLO", "AVENUE", "CORRIDORS", "CA",
+)
 # Lines that are never repaired, and what a spaced word looks like.
 UNSAFE = r"https?://|www\.|@|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{3}[-\.\s]?\d{3}[-\.\s]?\d{4}\b|\b(?:JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)[A-Z]*\b|\b\d{1,2}[:/]\d{1,2}\b"
 SPACED = r"\b(?:[A-Z]\s++(?=[A-Z]\b)){2,}+[A-Z]"  # possessive: no stack is used on long runs
 CAPS = r"^[A-Z]{1,6}$"
 LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85]"
 _LONGEST = 20
+_KNOWN = frozenset(LEXICON)
 
 
 def joined_capitals(text: Column) -> Column:
@@ -52,7 +57,7 @@ def cheapest_words(letters: str) -> list[str]:
         ways = []
         for begin in range(max(0, end - _LONGEST), end):
             part = letters[begin:end]
-            ways.append((best[begin][0] + (1 if part in LEXICON else 20 if len(part) == 1 else 10 + len(part)), begin))
+            ways.append((best[begin][0] + (1 if part in _KNOWN else 20 if len(part) == 1 else 10 + len(part)), begin))
         best.append(min(ways))
     words, end = [], len(letters)
     while end:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.text import collapse
-from gavel.operators.quality import BOILERPLATE_PATTERNS
+from gavel.operators.quality import BOILERPLATE_PATTERNS, is_boilerplate  # noqa: F401
 
 #: Titles of procedure, whole and as patterns.
 PROCEDURAL_TITLES = ("call to order", "roll call", "pledge of allegiance", "public comment", "adjournment", "closed session", "land acknowledgment", "land acknowledgement", "approval of minutes", "approval of the minutes", "approval of agenda", "approval of the agenda")
@@ -69,11 +69,6 @@ def is_contact(title: Column, description: Column | None = None) -> Column:
     return _any(both, CONTACT_PATTERNS) | own.rlike(r"^(from:|to:|cc:)")
 
 
-def is_boilerplate(c: Column) -> Column:
-    low = F.lower(collapse(F.coalesce(c, F.lit(""))))
-    return (low == "") | low.rlike(r"https?://|www\.") | _any(low, tuple(BOILERPLATE_PATTERNS)) | (low.endswith(":") & (F.length(low) <= 60))
-
-
 def portal_items(items: DataFrame, title: str = "title") -> DataFrame:
     """Rows of a portal that may be agenda items, titles collapsed: subject lines always, and what is no procedure, section, notice or overlong text."""
     t = collapse(F.coalesce(F.col(title), F.lit("")))
