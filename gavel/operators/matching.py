@@ -65,6 +65,10 @@ def _missing(size: Column, least: float) -> Column:
     return F.floor(size * (200 - 2 * least) / (200 - least) + 1e-9).cast("int")
 
 
+#: In a document of so many titles at most, on either side, titles of fitting sizes all meet: that is less work than to find out which may be alike.
+FEW_TITLES = 40
+
+
 def similar_titles(left: DataFrame, right: DataFrame, key: str, least: float, later: bool = False) -> DataFrame:
     """key, a, b, ratio: pairs of titles (key, id, title; word-sorted, not empty) of one document whose ratio is at least least; with later, only those where b > a.
 
@@ -74,7 +78,10 @@ def similar_titles(left: DataFrame, right: DataFrame, key: str, least: float, la
     if least <= 50:
         raise ValueError("the filter needs a ratio over 50")
     sized = lambda df: df.select(key, "id", "title", F.length("title").alias("size"))
-    a, b = sized(left), sized(right)
+    every_a, every_b = sized(left), sized(right)
+    crowded = every_a.select(key, F.lit(0).alias("side")).unionByName(every_b.select(key, F.lit(1).alias("side"))).groupBy(key, "side").agg(F.count("*").alias("n")).filter(F.col("n") > FEW_TITLES).select(key).distinct()
+    crowded = checkpointed(crowded)
+    a, b = every_a.join(crowded, key, "left_semi"), every_b.join(crowded, key, "left_semi")
     counts = _grams(b, key).groupBy(key, "gram").agg(F.count("*").alias("n"))
     ours, theirs = _prefixes(a, key, counts, least), _prefixes(b, key, counts, least)
     fits = 200 * F.least("size", "size_b") >= least * (F.col("size") + F.col("size_b"))
@@ -84,8 +91,13 @@ def similar_titles(left: DataFrame, right: DataFrame, key: str, least: float, la
     few_a = kinds(a).select(key, F.col("id").alias("a"), F.explode(reach).alias("size")).join(b.select(key, F.col("id").alias("b"), "size"), [key, "size"])
     few_b = kinds(b).select(key, F.col("id").alias("b"), F.explode(reach).alias("size")).join(a.select(key, F.col("id").alias("a"), "size"), [key, "size"])
     pairs = pairs.unionByName(few_a.select(key, "a", "b")).unionByName(few_b.select(key, "a", "b"))
-    pairs = (pairs.filter("b > a") if later else pairs).distinct()
-    both = pairs.join(a.select(key, F.col("id").alias("a"), F.col("title").alias("title_a")), [key, "a"]).join(b.select(key, F.col("id").alias("b"), F.col("title").alias("title_b")), [key, "b"])
+    named = lambda df, end: df.select(key, F.col("id").alias(end), F.col("title").alias(f"title_{end}"), F.col("size").alias("size" if end == "a" else "size_b"))
+    both = pairs.distinct().join(named(a, "a"), [key, "a"]).join(named(b, "b"), [key, "b"])
+    # at most FEW_TITLES titles a side of each of these documents
+    small = named(every_a.join(crowded, key, "left_anti"), "a").join(named(every_b.join(crowded, key, "left_anti"), "b"), key).filter(fits)
+    columns = [key, "a", "b", "title_a", "title_b"]
+    both = both.select(*columns).unionByName(small.select(*columns))
+    both = both.filter("b > a") if later else both
     kind = both.select(key, "a", "b").schema.add("ratio", "double")
 
     def run(batches):
