@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules() -> list:
-    from gavel.operators import queries_agenda, queries_bluf, queries_changes, queries_documents, queries_index, queries_matching, queries_merging, queries_people, queries_quality, queries_records, queries_scores, queries_search, queries_segmentation, queries_streams, queries_summaries
+    from gavel.operators import queries_agenda, queries_artifacts, queries_bluf, queries_changes, queries_documents, queries_index, queries_matching, queries_merging, queries_people, queries_quality, queries_records, queries_scores, queries_search, queries_segmentation, queries_streams, queries_summaries
 
-    return [queries_search, queries_records, queries_people, queries_quality, queries_merging, queries_agenda, queries_documents, queries_index, queries_matching, queries_scores, queries_summaries, queries_bluf, queries_segmentation, queries_index, queries_changes, queries_streams]
+    return [queries_search, queries_records, queries_people, queries_quality, queries_merging, queries_agenda, queries_documents, queries_index, queries_matching, queries_scores, queries_summaries, queries_bluf, queries_artifacts, queries_segmentation, queries_changes, queries_streams]
 
 
 def queries() -> dict:
