@@ -36,9 +36,12 @@ from .common import as_bytes, bounded_batches, groups, words_of
 
 BUCKETS = 1 << 14
 PASSAGE = 32
-#: Singular vectors kept, and items in a block.
+#: Singular vectors kept, and most items in a block.
 RANK = 256
 OVERSAMPLING = 8
+#: Most words of a block's items together (an item with more is a block by itself), and most cells of a block's matrix: of more terms than BLOCK_WORDS fewer singular vectors are kept, in proportion.
+BLOCK_WORDS = 1 << 14
+CELLS = BLOCK_WORDS * (RANK + OVERSAMPLING)
 MIN_WORDS = 8
 LEAST_COSINE = 0.35
 #: Words below this inverse document frequency (in more than one of 250 passages) are terms only as some of an item's rarest, RAREST or more; no term's weight is less.
@@ -195,7 +198,8 @@ class Block:
         return out
 
     def fit(self, docs: DataFrame) -> None:
-        m, width = len(self.terms), min(RANK + OVERSAMPLING, len(self.terms))
+        m = len(self.terms)
+        width = min(RANK + OVERSAMPLING, m, max(2 * OVERSAMPLING, CELLS // m))
         omega = np.random.RandomState(11).standard_normal((m, width)).astype(np.float32)
         block, weighted = self, omega * self.weights[:, None]
 
@@ -336,16 +340,19 @@ class Block:
 
 
 def blocks(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str) -> list[Block]:
-    """Fitted blocks of the benchmark. The benchmark is the stated query set: items come to the driver RANK at a time."""
+    """Fitted blocks of the benchmark. The benchmark is the stated query set: items come to the driver a block at a time, RANK items or BLOCK_WORDS words, so that what a task holds of a block is bounded however long its items are."""
     bounded_batches(docs.sparkSession)
     source = docs.select(F.col(text).alias("text"))
     frequencies, n = document_frequencies(source)
-    out, pending = [], []
+    out, pending, size = [], [], 0
     for row in benchmark.select(F.col(item).cast("long"), item_text).filter(F.col(item_text).isNotNull()).orderBy(item, item_text).toLocalIterator():
-        pending.append((row[0], row[1].encode()))
-        if len(pending) == RANK:
+        encoded = row[1].encode()
+        words = len(encoded.split())
+        if pending and (len(pending) == RANK or size + words > BLOCK_WORDS):
             out.append(Block(pending, frequencies, n))
-            pending = []
+            pending, size = [], 0
+        pending.append((row[0], encoded))
+        size += words
     if pending:
         out.append(Block(pending, frequencies, n))
     out = [b for b in out if b.ids]

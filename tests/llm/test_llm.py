@@ -494,3 +494,75 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     out = {r.doc_id: r.text for r in corpus_pipeline.substrings(spark, docs, str(tmp_path)).collect()}
     assert out[1] == " ".join(texts[1].split()[:90]) and out[4] is None
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def altered(words, kind, rng):
+    """A copy of an item's words: kind is (what is done, to which share of them)."""
+    what, share = kind
+    out = []
+    for k, w in enumerate(words):
+        hit = rng.random() < share
+        if what == "swap" and k % 2 and hit:
+            out.insert(len(out) - 1, w)
+        elif what == "drop" and hit:
+            continue
+        elif what == "replace" and hit:
+            out.append(f"zq{rng.randrange(10**6)}")
+        else:
+            out += [w] + [f"zq{rng.randrange(10**6)}"] * (what == "insert" and hit)
+    return out
+
+
+@pytest.fixture(scope="module")
+def paraphrases(spark):
+    """Copies of each item with words replaced, dropped, put in or swapped, amid other texts, and by direct reading which of them hold the item: {(doc_id, item): share}."""
+    rng = random.Random(5)
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    texts = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("text", "doc_id").orderBy("doc_id").collect()]
+    rows, truth = list(enumerate(texts)), {}
+    kinds = [("replace", 0.0), ("replace", 0.1), ("replace", 0.2), ("replace", 0.3), ("drop", 0.15), ("drop", 0.3), ("insert", 0.3), ("swap", 0.3)]
+    for r in benchmark.collect():
+        words = r.text.lower().split()
+        for kind in kinds:
+            copy = altered(words, kind, rng)
+            filler = rng.choice(texts).split()[:150]
+            share = decontaminate.lcs(words, copy) / len(words)
+            tail = words[-max(decontaminate.ANSWER_WORDS, int(decontaminate.ANSWER_SHARE * len(words))) :]
+            if share >= 0.8 or (share >= 0.6 and decontaminate.lcs(tail, copy) / len(tail) >= 0.75):
+                truth[len(rows), r.item_id] = share
+            rows.append((len(rows), " ".join(filler[:75] + copy + filler[75:])))
+    return documents(spark, [t for _, t in rows]), benchmark, truth
+
+
+def recall(found, truth, low, high):
+    wanted = {x for x, share in truth.items() if low <= share < high}
+    return len(wanted & found) / len(wanted)
+
+
+def test_decontamination_finds_paraphrases(paraphrases):
+    docs, benchmark, truth = paraphrases
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()}
+    measured = recall(found, truth, 0.6, 0.8), recall(found, truth, 0.8, 2)
+    print("recall at 0.6 to 0.8 with the answer, at 0.8 and more:", measured, len(truth))
+    assert min(measured) >= 0.9
+    # what is found of other documents than the item was put into is an item there by direct reading too
+    assert all(decontaminate.lcs(i, d) / len(i) >= 0.6 for i, d in others(docs, benchmark, found - set(truth)))
+
+
+def others(docs, benchmark, pairs):
+    items = {r.item_id: r.text.lower().split() for r in benchmark.collect()}
+    texts = {r.doc_id: (r.text or "").lower().split() for r in docs.collect()}
+    return [(items[i], texts[d]) for d, i in pairs]
+
+
+def test_decontamination_in_several_blocks(paraphrases, monkeypatch):
+    docs, benchmark, truth = paraphrases
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(decontaminate, "CELLS", 300 * 40)
+    sizes = [sum(map(len, b.sets)) for b in decontaminate.blocks(docs, benchmark, "text", "item_id", "text")]
+    assert len(sizes) > 4 and max(sizes) <= 300
+    found = {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, benchmark).collect()}
+    assert recall(found, truth, 0.8, 2) >= 0.9 and recall(found, truth, 0.6, 0.8) >= 0.9
