@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gavel.operators import changes, search
+from gavel.operators import changes, repairs, search
 from gavel.operators.queries_documents import NEW_ITEMS, PROCESSED, pages, reason
 from gavel.operators.queries_search import CATEGORY, KIND, STAR, meetings
 from gavel.plans.bridge import Tables, from_sql, twin
@@ -127,3 +127,29 @@ def s10_search_sink(t):
     changes.write_search_documents(sink, search.search_table(amended, items.limit(0)), "amended", items.filter("db_id % 7 = 0"))
     changes.write_search_documents(sink, search.search_table(m, items), "full")
     return sink.read().withColumn("content_sha256", F.sha2("content", 256)).drop("content")
+
+
+#: A catalog for each document with its link; a repair for each third of them: a link of its own, another catalog's, one that ten share, its own old one, or of no catalog; and what hangs on the catalogs.
+LINKED = "(SELECT doc_id + 1 AS id, concat('https://p.example/DocView.aspx?id=', doc_id) AS url, SHA(concat('https://p.example/DocView.aspx?id=', doc_id)) AS url_hash, 'a/b.html' AS location, 'b.html' AS filename, text AS content, 'complete' AS extraction_status, 3 AS extraction_attempt_count, lang AS summary FROM {documents} d)"
+NEW_LINKS = """(SELECT seq, catalog_id, new_url, SHA(new_url) AS new_hash, concat('files/', seq) AS path, concat(seq, '.pdf') AS filename FROM (SELECT doc_id AS seq, CASE WHEN doc_id % 15 = 9 THEN -doc_id ELSE doc_id + 1 END AS catalog_id,
+    concat('https://p.example/', CASE doc_id % 5 WHEN 0 THEN concat('ElectronicFile.aspx?id=', doc_id) WHEN 1 THEN concat('DocView.aspx?id=', doc_id + 1) WHEN 2 THEN concat('ElectronicFile.aspx?shared=', CAST(floor(doc_id / 30) AS BIGINT)) WHEN 3 THEN concat('DocView.aspx?id=', doc_id) ELSE concat('ElectronicFile.aspx?of=', doc_id) END) AS new_url
+    FROM {documents} WHERE doc_id % 3 = 0) r)"""
+HANGING = "(SELECT id * 2 + k AS doc, id AS catalog_id, CASE k WHEN 0 THEN 'agenda' ELSE 'minutes' END AS category, url, url_hash FROM " + LINKED + " l JOIN (SELECT 0 AS k UNION ALL SELECT 1 AS k) t ON TRUE)"
+
+
+@query(
+    "WITH c AS (SELECT * FROM " + LINKED + " c), r AS (SELECT r.*, EXISTS (SELECT 1 FROM c WHERE c.url_hash = r.new_hash AND c.id <> r.catalog_id) AS taken, EXISTS (SELECT 1 FROM c WHERE c.id = r.catalog_id) AS there FROM " + NEW_LINKS + " r), "
+    "v AS (SELECT *, row_number() OVER (PARTITION BY new_hash, taken, there ORDER BY seq) = 1 AS first FROM r), m AS (SELECT * FROM v WHERE there AND NOT taken AND first), "
+    "h AS (SELECT h.catalog_id, string_agg(concat(category, ' ', CASE WHEN category = 'agenda' THEN coalesce(m.new_url, h.url) ELSE h.url END), ', ' ORDER BY doc) AS documents FROM " + HANGING + " h LEFT JOIN m ON m.catalog_id = h.catalog_id GROUP BY 1), e AS (SELECT vec_id + 1 AS catalog_id, count(*) AS n FROM {embeddings} GROUP BY 1) "
+    "SELECT c.id, CASE WHEN m.seq IS NOT NULL THEN 'updated' WHEN v.seq IS NOT NULL THEN 'skipped_duplicate_hash' END AS outcome, coalesce(m.new_url, c.url) AS url, coalesce(m.new_hash, c.url_hash) AS url_hash, coalesce(m.path, c.location) AS location, coalesce(m.filename, c.filename) AS filename, CASE WHEN m.seq IS NULL THEN SHA(coalesce(c.content, '')) END AS content_sha, "
+    "CASE WHEN m.seq IS NULL THEN 'complete' ELSE 'pending' END AS extraction_status, CASE WHEN m.seq IS NULL THEN 3 ELSE 0 END AS extraction_attempt_count, CASE WHEN m.seq IS NULL THEN c.summary END AS summary, h.documents, CASE WHEN m.seq IS NULL THEN coalesce(e.n, 0) ELSE 0 END AS embeddings FROM c LEFT JOIN m ON m.catalog_id = c.id LEFT JOIN v ON v.catalog_id = c.id LEFT JOIN h ON h.catalog_id = c.id LEFT JOIN e ON e.catalog_id = c.id"
+)
+def u12_repaired_links(t):
+    catalog = from_sql(t, "SELECT * FROM " + LINKED + " c")
+    verdicts = repairs.repair_verdicts(catalog, from_sql(t, "SELECT * FROM " + NEW_LINKS + " r"))
+    c, d, e = repairs.apply_repairs(catalog, from_sql(t, "SELECT * FROM " + HANGING + " h"), from_sql(t, "SELECT vec_id + 1 AS catalog_id, vec_id FROM {embeddings} e"), verdicts)
+    d = d.groupBy("catalog_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc", F.concat_ws(" ", "category", "url").alias("s")))), lambda x: x["s"]), ", ").alias("documents"))
+    e = e.groupBy("catalog_id").agg(F.count("*").alias("embeddings"))
+    said = verdicts.filter("outcome <> 'no_catalog'").select("catalog_id", "outcome")
+    c = c.withColumnRenamed("id", "catalog_id").join(said, "catalog_id", "left").join(d, "catalog_id", "left").join(e, "catalog_id", "left")
+    return c.select(F.col("catalog_id").alias("id"), "outcome", "url", "url_hash", "location", "filename", F.when(F.col("extraction_status") == "complete", F.sha2(F.coalesce("content", F.lit("")), 256)).alias("content_sha"), "extraction_status", "extraction_attempt_count", "summary", "documents", F.coalesce("embeddings", F.lit(0)).alias("embeddings"))
