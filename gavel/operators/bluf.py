@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gavel.functions.text import collapse
+from gavel.functions.text import ascii_bounds, collapse
 from gavel.operators.scores import computed
 from gavel.operators.summaries import is_attendance
 from gavel.operators.titles import CLAIM_STOP_WORDS
@@ -86,7 +86,7 @@ def bluf_summaries(rows: DataFrame, summary: str = "summary", source: str = "sou
     kept = F.transform(F.when(few, F.concat("_first", more)).otherwise(F.col("_first")), lambda x: x["line"])
     d = computed(d, _kept=kept)
     d = computed(d, _snippet=F.substring(collapse(F.regexp_replace("_source", PAGE_MARK, " ")), 1, 200))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace("_source", PAGE_MARK, "\n"), r"\s+", " "), r"\b\d+\.\s+"), trimmed), lambda x: (F.length(x) >= 12) & ~is_attendance(x))
+    parts = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace("_source", PAGE_MARK, "\n"), r"\s+", " "), ascii_bounds(r"\b\d+\.\s+")), trimmed), lambda x: (F.length(x) >= 12) & ~is_attendance(x))
     none = F.array().cast("array<string>")
     d = computed(d, _parts=F.when(F.size("_kept") == 0, F.slice(parts, 1, MOST_BULLETS)).otherwise(none))
     d = computed(d, _parts=F.expr(_distinct("_parts")))
@@ -94,7 +94,7 @@ def bluf_summaries(rows: DataFrame, summary: str = "summary", source: str = "sou
     bullets = F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(spare)
     text = F.concat_ws("\n", trimmed(F.concat(F.lit("BLUF: "), "_bluf")), F.transform(bullets, lambda x: F.concat(F.lit("- "), x)))
     empty = F.concat(F.lit(f"BLUF: {UNAVAILABLE}\n- "), F.when(F.col("_snippet") == "", NO_BULLET).otherwise(F.col("_snippet")))
-    out = F.when(F.col("_summary") == "", F.col(summary)).when(F.size("_lines") == 0, empty).otherwise(trimmed(text))
+    out = F.when(F.col("_summary") == "", F.col(summary)).when(F.size("_lines") == 0, empty).otherwise(text)
     return d.select(*rows.columns, out.alias("normalized"))
 
 
