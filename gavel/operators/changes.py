@@ -73,11 +73,33 @@ def replace_items(items: Versioned, new: DataFrame, processed: DataFrame, batch:
     return items.apply(batch, lambda table: titles.replaced_items(table, new, processed)[0])
 
 
+def _texts(sink: Versioned) -> Versioned:
+    return Versioned(sink.spark, f"{sink.folder}/_texts")
+
+
 def write_search_documents(sink: Versioned, documents: DataFrame, batch: str, gone: DataFrame | None = None) -> bool:
-    """Put documents in place of those of the same id, drop those of gone (id); written by result_type. False if the batch was applied before."""
+    """Put documents in place of those of the same id, drop those of gone (id); written by result_type. False if the batch was applied before.
+
+    Many documents share a catalog's content, so contents are kept once each, by their hash, beside the rows: a batch moves and rewrites no
+    content for each document. They are written first, so a snapshot's contents are always there; those that no row names any more stay.
+    """
+    key = F.sha2("content", 256).alias("_content")
+
+    def texts(table: DataFrame | None) -> DataFrame:
+        new = documents.filter("content IS NOT NULL").select(key, "content").distinct()
+        return new if table is None else table.unionByName(new).distinct()
 
     def change(table: DataFrame | None) -> DataFrame:
-        merged = upserted(table, documents, "id")
+        merged = upserted(table, documents.select(*[key if c == "content" else c for c in documents.columns]), "id")
         return merged.join(gone.select("id"), "id", "left_anti") if gone is not None else merged
 
+    if batch in sink.batches():
+        return False
+    _texts(sink).apply(batch, texts)
     return sink.apply(batch, change, partition_by=("result_type",))
+
+
+def search_documents(sink: Versioned) -> DataFrame:
+    """The documents of a sink with their contents."""
+    rows = sink.read()
+    return rows.join(_texts(sink).read(), "_content", "left").select(*["content" if c == "_content" else c for c in rows.columns])

@@ -190,3 +190,17 @@ def test_ranks_are_exact(spark):
         v = sorted(x for a, x in rows if a == arm and x is not None)
         want[arm] = (v[math.ceil(len(v) * 0.95) - 1], v[(len(v) + 1) // 2 - 1])
     assert {r.arm: (r.p95, r.low) for r in found.collect()} == want
+
+
+def test_search_sink_keeps_each_content_once(spark):
+    from gavel.operators import changes
+
+    sink = tables.Versioned(spark, tables.new_folder(spark, "sink"))
+    rows = lambda n, by: spark.createDataFrame([(f"d{i}", "meeting", None if i == 3 else f"{by}{i % 2}", i) for i in range(n)], "id string, result_type string, content string, n int")
+    assert changes.write_search_documents(sink, rows(6, "a"), "full")
+    gone = spark.createDataFrame([("d5",)], "id string")
+    assert changes.write_search_documents(sink, rows(2, "b"), "amended", gone) and not changes.write_search_documents(sink, rows(6, "a"), "full")
+    assert "content" not in sink.read().columns
+    assert sorted(map(tuple, changes._texts(sink).read().select("content").collect())) == [("a0",), ("a1",), ("b0",), ("b1",)]
+    found = {r.id: (r.content, r.n) for r in changes.search_documents(sink).collect()}
+    assert found == {"d0": ("b0", 0), "d1": ("b1", 1), "d2": ("a0", 2), "d3": (None, 3), "d4": ("a0", 4)}
