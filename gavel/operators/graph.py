@@ -68,54 +68,104 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of length 1 of an Arrow list of (id, vector)."""
     v = rows.values
     ids = v.field(0).to_numpy()
-    m = np.array(v.field(1).to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-    return ids, m / np.maximum(1e-12, np.linalg.norm(m, axis=1, keepdims=True))
+    return ids, _normed(v.field(1)).reshape(len(ids), -1)
 
 
-def _best_of_blocks(spread: DataFrame, k: int, least: float) -> DataFrame:
-    """id, neighbour, score: of blocks (rows) against blocks (rows2) of (id, vector) each row's k best, merged over all blocks it met."""
+def _normed(column) -> np.ndarray:
+    """A row of length 1 for each vector of an Arrow column or list."""
+    if hasattr(column, "flatten") and not column.null_count and len(column):
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    else:
+        x = np.array(column.to_pylist() if hasattr(column, "to_pylist") else column, dtype=np.float64)
+    return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else x
 
-    def run(batches):
+
+#: Rows of a block that are compared with another block at once.
+TILE = 512
+
+
+class _Best:
+    """The k best neighbours of a block's rows so far.
+
+    A product in single precision, with its error allowed for, tells which pairs may be among a row's k best; those are scored in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, least: float):
+        self.ids, self.x, self.k, self.least = ids, x, k, least
+        self.single = x.astype(np.float32)
+        self.error = 1e-9 + (x.shape[1] + 8) * 1.2e-7
+        self.score, self.neighbour = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def meet(self, b: np.ndarray, y: np.ndarray) -> None:
+        other = y.astype(np.float32).T
+        for at in range(0, len(self.ids), TILE):
+            ids, s = self.ids[at : at + TILE], self.single[at : at + TILE] @ other
+            floor = np.maximum(self.score[at : at + TILE, -1], self.least)
+            may = s >= (floor - self.error).astype(np.float32)[:, None]
+            if np.count_nonzero(may) > 16 * self.k * len(ids) and s.shape[1] > self.k:  # many: only those near each row's k-th
+                s[ids[:, None] == b[None, :]] = -2
+                kth = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
+                may &= s >= (kth - 2 * self.error).astype(np.float32)[:, None]
+            r, c = np.nonzero(may)
+            score = np.round(np.einsum("ij,ij->i", self.x[at + r], y[c]), 9)
+            fit = (ids[r] != b[c]) & (score >= self.least)
+            if fit.any():
+                self._add(at + r[fit], score[fit], b[c[fit]])
+
+    def _add(self, r: np.ndarray, score: np.ndarray, neighbour: np.ndarray) -> None:
+        rows = np.unique(r)
+        r = np.concatenate([r, np.repeat(rows, self.k)])
+        score, neighbour = np.concatenate([score, self.score[rows].ravel()]), np.concatenate([neighbour, self.neighbour[rows].ravel()])
+        order = np.lexsort((neighbour, -score, r))
+        r, score, neighbour = r[order], score[order], neighbour[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r)
+        first = rank < self.k
+        self.score[r[first], rank[first]], self.neighbour[r[first], rank[first]] = score[first], neighbour[first]
+
+    def batch(self):
         import pyarrow as pa
 
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                (a, x), (b, y) = _matrix(left), _matrix(right)
-                s = np.round(x @ y.T, 9)
-                s[a[:, None] == b[None, :]] = -2
-                order = np.lexsort((np.broadcast_to(b, s.shape), -s), axis=1)[:, :k]
-                score = np.take_along_axis(s, order, axis=1)
-                keep = score >= least
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, order.shape[1])[keep.ravel()]), pa.array(b[order].ravel()[keep.ravel()]), pa.array(score.ravel()[keep.ravel()])], names=["id", "neighbour", "score"])
+        keep = (self.score >= self.least).ravel()
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, self.k)[keep]), pa.array(self.neighbour.ravel()[keep]), pa.array(self.score.ravel()[keep])], names=["id", "neighbour", "score"])
+
+
+def _best_of_blocks(spread: DataFrame, k: int, least: float) -> DataFrame:
+    """id, neighbour, score: of blocks (key, rows) against blocks (rows2) of (id, vector) each row's k best, merged over all blocks it met. A block's lists are kept while rows of its key follow one another."""
 
-    partial = spread.select("rows", "rows2").mapInArrow(run, "id long, neighbour long, score double")
+    def run(batches):
+        key, best = None, None
+        for batch in batches:
+            for at, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                if best is None or at != key:
+                    if best is not None:
+                        yield best.batch()
+                    key, best = at, _Best(*_matrix(left), k, least)
+                best.meet(*_matrix(right))
+        if best is not None:
+            yield best.batch()
+
+    partial = spread.select("key", "rows", "rows2").mapInArrow(run, "id long, neighbour long, score double")
     best = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     return partial.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).drop("_n")
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, rows_per_block: int = 2048) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, rows_per_block: int = 4096) -> DataFrame:
     """id, neighbour, score: at most k neighbours of each vector by cosine, exact.
 
-    Vectors are dealt into blocks; every block meets every other in one task as matrices, which keeps its k best for each row, and a window merges the blocks' lists. Block pairs grow with the square of the number of vectors, rows that leave a task only with k; approximate_neighbours() is for large tables.
+    Vectors are packed into blocks, a written table; every part of it meets every other in a task of its own, which reads both and compares block with block as matrices, so vectors are shuffled once. A window merges the blocks' lists of k for each row. Products grow with the square of the number of vectors; memory is that of two blocks and a part.
     """
     n = max(1, -(-vectors.count() // rows_per_block))
-    packed = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block")).groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
-    other = packed.select(F.col("block").alias("block2"), F.col("rows").alias("rows2"))
-    return _best_of_blocks(packed.withColumn("block2", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(other, "block2"), k, least)
+    block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    packed = checkpointed(vectors.select("id", "vector", block.alias("key")).repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("id", "vector")).alias("rows")))
+    return _best_of_blocks(packed.crossJoin(packed.select(F.col("rows").alias("rows2"))), k, least)
 
 
-#: Lists of the approximate search: the root of the number of vectors, this many at most, and vectors that are asked first to see how many lists it takes. Both bound what goes to each task.
-MOST_LISTS, SAMPLE = 16_384, 256
+#: Lists of the approximate search: the root of the number of vectors, this many at most, and fewer where vectors must look into more than MOST_PROBES; vectors that are asked first to see how many lists it takes. All bound what goes to each task.
+MOST_LISTS, MOST_PROBES, SAMPLE = 16_384, 16, 256
 
 
-def _normed(column) -> np.ndarray:
-    x = np.array(column.to_pylist() if hasattr(column, "to_pylist") else column, dtype=np.float64)
-    return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True))
-
-
-def _probes_needed(vectors: DataFrame, middle: np.ndarray, sample: list, k: int, least: float, recall: float) -> int:
-    """How many lists the sampled vectors must look into to find the share recall of their true neighbours; one pass over all vectors."""
-    ids, x = np.array([r.id for r in sample]), _normed([r.vector for r in sample])
+def _true_neighbours(vectors: DataFrame, ids: np.ndarray, x: np.ndarray, k: int, least: float) -> list:
+    """(asker, vector): the k best of all vectors for each of a sample; one pass over all vectors."""
 
     def run(batches):
         import pyarrow as pa
@@ -123,42 +173,52 @@ def _probes_needed(vectors: DataFrame, middle: np.ndarray, sample: list, k: int,
         for batch in batches:
             if batch.num_rows:
                 b, y = batch.column(0).to_numpy(), _normed(batch.column(1))
-                home = np.argmax(y @ middle.T, axis=1)
                 s = np.round(x @ y.T, 9)
                 s[ids[:, None] == b[None, :]] = -2
                 order = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 score = np.take_along_axis(s, order, axis=1)
                 asker = np.repeat(np.arange(len(ids)), order.shape[1])
                 keep = (score >= least).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(asker[keep]), pa.array(b[order].ravel()[keep]), pa.array(score.ravel()[keep]), pa.array(home[order].ravel()[keep])], names=["asker", "id", "score", "list"])
+                near = order.ravel()[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(asker[keep]), pa.array(b[near]), pa.array(score.ravel()[keep]), pa.array(list(y[near]), pa.list_(pa.float64()))], names=["asker", "id", "score", "vector"])
 
     best = Window.partitionBy("asker").orderBy(F.desc("score"), "id")
-    found = vectors.select("id", "vector").mapInArrow(run, "asker long, id long, score double, list long").withColumn("_n", F.row_number().over(best))
-    pairs = found.filter(F.col("_n") <= k).select("asker", "list").collect()  # at most k for each of the sample
+    found = vectors.select("id", "vector").mapInArrow(run, "asker long, id long, score double, vector array<double>").withColumn("_n", F.row_number().over(best))
+    return found.filter(F.col("_n") <= k).select("asker", "vector").collect()  # at most k for each of the sample
+
+
+def _probes_needed(x: np.ndarray, pairs: list, middle: np.ndarray, recall: float) -> int:
+    """How many of the lists around middle the sample x must look into to find the share recall of its true neighbours."""
     if not pairs:
         return 1
+    home = np.argmax(_normed([r.vector for r in pairs]) @ middle.T, axis=1)
     rank = np.argsort(np.argsort(-(x @ middle.T), axis=1, kind="stable"), axis=1)
-    ranks = np.sort([rank[r.asker, r.list] for r in pairs])
+    ranks = np.sort(rank[[r.asker for r in pairs], home])
     return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
 
-def approximate_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, recall: float = 0.95, rows_per_block: int = 2048, lists: int | None = None) -> DataFrame:
+def approximate_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, recall: float = 0.95, rows_per_block: int = 4096, lists: int | None = None) -> DataFrame:
     """id, neighbour, score: at most k neighbours of each vector by cosine, scored exactly, found in the lists nearest to it.
 
     As many vectors as the root of their number are centres, drawn by their ids' hashes; every vector belongs to the list of its nearest centre and looks
-    into those of its nearest centres, as many as SAMPLE of the vectors need for the share recall of their true neighbours. Members and askers of a list meet in
-    blocks of rows_per_block, so a crowded list is work for many tasks. A vector is shuffled once for each list it looks into: few where vectors lie in clusters,
-    most of the lists where they lie anywhere (and no index helps). A neighbour in another list is missed; tests hold recall against the exact search.
+    into those of its nearest centres, as many as SAMPLE of the vectors need for the share recall of their true neighbours. Where that is more than MOST_PROBES, half as
+    many centres are taken, and so on: a vector is shuffled once for each list it looks into, which is few where vectors lie in clusters, and most of some large lists
+    where they lie anywhere (and no index helps). Members and askers of a list meet in blocks of rows_per_block, so a crowded list is work for many tasks. A neighbour
+    in another list is missed; tests hold recall against the exact search.
     """
     n = vectors.count()
-    lists = lists or int(min(MOST_LISTS, max(1, n**0.5)))
     drawn = vectors.select("id", "vector", F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h", "id")
-    centres = drawn.limit(lists).select("vector").collect()
+    centres = drawn.limit(lists or int(min(MOST_LISTS, max(1, n**0.5)))).select("vector").collect()
     if not centres:
         return vectors.sparkSession.createDataFrame([], "id long, neighbour long, score double")
     middle = _normed([r.vector for r in centres])
     sample = vectors.select("id", "vector", F.xxhash64("id", F.lit(11)).alias("h")).orderBy("h", "id").limit(SAMPLE).select("id", "vector").collect()
-    probes = _probes_needed(vectors, middle, sample, k, least, recall)
+    x = _normed([r.vector for r in sample])
+    pairs = _true_neighbours(vectors, np.array([r.id for r in sample]), x, k, least)
+    probes = _probes_needed(x, pairs, middle, recall)
+    while lists is None and probes > MOST_PROBES:
+        middle = middle[: (len(middle) + 1) // 2]
+        probes = _probes_needed(x, pairs, middle, recall)
 
     def assign(batches):
         import pyarrow as pa
@@ -179,7 +239,8 @@ def approximate_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35,
         dealt = rows.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
         return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
 
-    return _best_of_blocks(blocks(asked).join(blocks(home).select("list", F.col("rows").alias("rows2")), "list"), k, least)
+    asking = blocks(asked).withColumn("key", F.struct("list", "part"))
+    return _best_of_blocks(asking.join(blocks(home).select("list", F.col("rows").alias("rows2")), "list"), k, least)
 
 
 def vector_top_k(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
