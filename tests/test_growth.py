@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from gavel.operators import graph
+from gavel.operators import agenda_text, graph
 
 
 def plan(df):
@@ -49,3 +49,22 @@ def test_approximate_search_shuffles_a_vector_a_bounded_number_of_times(spark, m
     assert max(s.agg(F.max(F.size("lists"))).first()[0] for s in steps if "lists" in s.columns) <= 16
     exact = set(brute(x))
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+def packed(text, most, scan, pieces):
+    done, now = [], ""
+    for w in " ".join(text.split())[: most * scan].split(" "):
+        if now and w and len(now) + 1 + len(w) > most:
+            done, now = [*done, now], w
+        elif w:
+            now = f"{now} {w}" if now else w
+    return ([*done, now] if now else done)[:pieces]
+
+
+def test_chunks_are_cut_at_once(spark):
+    texts = ["a" * 9 + " b c  d", "aaaa bbb cc dddddddd e " * 3, "\t x\n\ny ", "", "12345678 1234567 1 12345678", "ab " * 40, "é😀 ü😀😀😀😀😀😀 x", "abc defg hij klmn opq rst uvw xyz"]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = d.select("i", agenda_text.chunks(F.col("t"), 8, 3, 5).alias("c"))
+    assert {r.i: r.c for r in found.collect()} == {i: packed(t, 8, 3, 5) for i, t in enumerate(texts)}
+    # words are not put together one by one, which copies a piece for each of its words
+    assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
