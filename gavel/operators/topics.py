@@ -2,29 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.functions.text import counted, texts_of
+
 #: Words that no keyword holds.
 STOP_WORDS = ("the", "and", "for", "that", "this", "with", "from", "are", "was", "were", "has", "have", "had", "not", "but", "you", "all", "can", "her", "his", "one", "our", "out", "she", "their", "them", "they", "will", "would", "there", "been", "which", "who", "what", "when")
 
 
 def terms(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, term: one- and two-word terms of at least three ASCII letters a word, stop words taken out first."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    d = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z]{3,}"), 0).alias("_all"))
-    d = d.select(key, F.filter("_all", lambda w: ~F.array_contains(stop, w)).alias("_w"))
-    pairs = F.zip_with(F.col("_w"), F.slice("_w", F.lit(2), F.greatest(F.size("_w"), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
-    d = d.withColumn("_t", F.concat("_w", F.slice(pairs, F.lit(1), F.greatest(F.size("_w") - 1, F.lit(0)))))
-    return d.select(key, F.explode("_t").alias("term"))
+    return docs.select(key, F.explode(_terms(F.coalesce(text, F.lit("")))).alias("term"))
+
+
+def _terms(text: Column) -> Column:
+    words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]{3,}"), 0), lambda w: ~w.isin(*STOP_WORDS))
+    pairs = lambda w: F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.transform(F.array(words), lambda w: F.concat(w, pairs(w)))[0]
 
 
 def keywords(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = 5, max_df: float = 0.8, features: int = 5000) -> DataFrame:
     """key, term, weight, rank: each document's best terms by TF-IDF with smooth idf and unit length.
 
-    Terms in more than max_df of the documents are left out, then the vocabulary is cut to the commonest features terms, ties by term.
+    Terms in more than max_df of the documents are left out, then the vocabulary is cut to the commonest features terms, ties by term. A document's terms are
+    counted in its row, and again for the vocabulary, so what is shuffled is each task's sums for its terms, and the rows of the vocabulary's terms.
     """
-    tf = terms(docs, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    each = texts_of(docs, key, text).select(key, F.explode(counted(F.flatten(F.transform("texts", _terms)))).alias("t"))
+    tf = each.select(key, F.col("t.value").alias("term"), F.col("t.n").alias("tf"))
     n = docs.agg(F.count("*").alias("n_docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).crossJoin(F.broadcast(n))  # one row
     vocabulary = df.filter(F.col("df") <= max_df * F.col("n_docs")).orderBy(F.desc("total"), "term").limit(features)

@@ -1,9 +1,12 @@
 """Steps whose cost must not grow faster than their input, against plain computations of the same results."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from gavel.operators import agenda_text, graph
+from gavel.functions import text
+from gavel.operators import agenda_text, graph, titles, topics
 
 
 def plan(df):
@@ -51,9 +54,9 @@ def test_approximate_search_shuffles_a_vector_a_bounded_number_of_times(spark, m
     assert len(found & exact) >= 0.9 * len(exact)
 
 
-def packed(text, most, scan, pieces):
+def packed(t, most, scan, pieces):
     done, now = [], ""
-    for w in " ".join(text.split())[: most * scan].split(" "):
+    for w in " ".join(t.split())[: most * scan].split(" "):
         if now and w and len(now) + 1 + len(w) > most:
             done, now = [*done, now], w
         elif w:
@@ -68,3 +71,28 @@ def test_chunks_are_cut_at_once(spark):
     assert {r.i: r.c for r in found.collect()} == {i: packed(t, 8, 3, 5) for i, t in enumerate(texts)}
     # words are not put together one by one, which copies a piece for each of its words
     assert "aggregate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_counted_in_their_row(spark):
+    d = spark.createDataFrame([(0, ["b", "a", "b", "é", ""]), (1, []), (2, ["x"])], "i int, w array<string>")
+    found = {r.i: [(x.value, x.n) for x in r.c] for r in d.select("i", text.counted(F.col("w")).alias("c")).collect()}
+    assert found == {0: [("", 1), ("a", 1), ("b", 2), ("é", 1)], 1: [], 2: [("x", 1)]}
+
+
+DOCS = [(1, "the park zoning park zoning board"), (2, "Budget budget x-ray zoning"), (3, None), (4, ""), (5, "alone"), (6, "tree tree park")]
+
+
+def test_a_documents_phrases_are_not_shuffled(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    found = titles.small_corpus_keywords(docs, ("the",))
+    assert "Exchange" not in plan(found)
+    assert [(r.phrase, r.rank) for r in found.filter("doc_id = 1").orderBy("rank").collect()] == [("park zoning", 1), ("park zoning board", 2), ("park zoning park", 3), ("zoning board", 4), ("zoning park", 5)]
+    split = docs.filter("doc_id IN (1, 6)").withColumn("doc_id", F.lit(1).cast("long"))  # a key's texts count together, no phrase runs over their ends
+    assert [(r.phrase, r.rank) for r in titles.small_corpus_keywords(split, ("the",), most=2).orderBy("rank").collect()] == [("park zoning", 1), ("park zoning board", 2)]
+
+
+def test_tfidf_shuffles_no_row_for_each_document_and_term_but_of_the_vocabulary(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    found = topics.keywords(docs)
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term", plan(found))
+    assert found.count() and {r.doc_id for r in found.collect()} == {1, 2, 5, 6}
