@@ -95,7 +95,8 @@ def write_search_documents(sink: Versioned, documents: DataFrame, batch: str, go
 
     if batch in sink.batches():
         return False
-    _texts(sink).apply(batch, texts)
+    if "content" in documents.columns:
+        _texts(sink).apply(batch, texts)
     return sink.apply(batch, change, partition_by=("result_type",))
 
 
