@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gavel.functions import text
-from gavel.operators import agenda_text, graph, titles, topics
+from gavel.operators import agenda_text, graph, postings, titles, topics
 
 
 def plan(df):
@@ -96,3 +96,17 @@ def test_tfidf_shuffles_no_row_for_each_document_and_term_but_of_the_vocabulary(
     found = topics.keywords(docs)
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, term", plan(found))
     assert found.count() and {r.doc_id for r in found.collect()} == {1, 2, 5, 6}
+
+
+def test_an_index_shuffles_no_words(spark, monkeypatch, tmp_path):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: plans.append((path, plan(self._df))) or write(self, path, *a, **k))
+    documents = spark.createDataFrame([("a", "Park board"), ("b", "Park board"), ("c", None)], "id string, event_name string")
+    names = documents.select(F.col("event_name").alias("unit"), F.col("event_name").alias("text")).filter("unit IS NOT NULL").distinct()
+    postings.build(documents, [postings.Field("event_name", "event_name", names)], str(tmp_path / "i"))
+    written = next(p for path, p in plans if path.endswith("/postings"))
+    assert "Exchange" not in written.split("Generate", 1)[0]  # what is above the words
+    (size,) = spark.read.parquet(str(tmp_path / "i/fields")).collect()
+    assert (size.words, size.units, size.docs) == (4, 1, 3)
