@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gavel.functions import text as X
+from gavel.operators.agenda_text import context_windows
 from gavel.operators import records, runs
 from gavel.operators.queries_search import KIND, NOISE
 from gavel.plans.bridge import Tables, from_sql, twin
@@ -231,8 +232,7 @@ def f12_trend_noise(t):
 
 @query("SELECT id, CASE WHEN length(title) > 0 AND hit > 0 THEN substring(content, greatest(1, hit - 500), hit + length(title) + 1000 - greatest(1, hit - 500)) END AS window FROM (SELECT i.id, i.title, c.content, strpos(lower(c.content), lower(i.title)) AS hit FROM {agenda_item} i JOIN {catalog} c ON c.id = i.catalog_id) x")
 def x20_context_window(t):
-    d = t.agenda_item.select("id", "catalog_id", "title").join(t.catalog.select(F.col("id").alias("catalog_id"), "content"), "catalog_id")
-    return d.select("id", X.context_window(F.col("content"), F.col("title")).alias("window"))
+    return context_windows(t.agenda_item.select("id", "catalog_id", "title"), t.catalog.select(F.col("id").alias("catalog_id"), "content"), "catalog_id")
 
 
 @query("SELECT arm, count(*) AS n, round(avg(section_compliance_pass), 6) AS compliance_rate, round(avg(fallback_used), 6) AS fallback_rate, quantile_disc(duration_ms, 0.95) AS p95_ms, median(duration_ms) FILTER (duration_ms > 0) AS median_ms, CAST(sum(total_tokens) AS BIGINT) AS total_tokens FROM {ab_row} GROUP BY 1")
