@@ -55,7 +55,8 @@ BENT = (
 
 
 def found(t):
-    docs = from_sql(t, "SELECT * FROM " + BENT + " b")
+    # where a text is null the SQL's concat leaves it out
+    docs = from_sql(t, "SELECT * FROM " + BENT.replace("{documents}", "(SELECT doc_id, coalesce(text, '') AS text FROM {documents})") + " b")
     return S.judged(S.candidates(S.agenda_pages(S.pages(docs, "doc_id", "text"), "doc_id"), "doc_id"), "doc_id")
 
 
