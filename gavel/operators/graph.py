@@ -64,11 +64,37 @@ def lineage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select(F.col("id").alias("catalog_id"), F.concat(F.lit("lin-"), F.col("component").cast("string")).alias("lineage_id"), F.when(F.col("size") <= 1, 0.2).otherwise(F.round(value, 3)).alias("confidence"), "size", "degree")
 
 
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of length 1 of an Arrow list of (id, vector)."""
-    v = rows.values
-    ids = v.field(0).to_numpy()
-    return ids, _normed(v.field(1)).reshape(len(ids), -1)
+def _matrix(block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors of length 1 and floors of a block of _packed."""
+    ids, x, floor = (np.frombuffer(block[n].as_buffer(), t) for n, t in (("ids", np.int64), ("x", np.float64), ("floor", np.float64)))
+    return ids, x.reshape(len(ids), -1), floor
+
+
+def _packed(blocks: DataFrame, k: int = 0, least: float = 0.0) -> DataFrame:
+    """blocks with rows, lists of (id, vector), as a struct of bytes: ids, x (vectors of length 1) and floor. A block that many others meet is normed once and moves as it is.
+
+    Where k is given, a row's floor is the score of its k-th best in its own block: in no other block need it look for less. Without, rows have none.
+    """
+    keys = [c for c in blocks.columns if c != "rows"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                v = batch.column(len(keys))[i].values
+                ids, x = v.field(0).to_numpy().astype(np.int64), _normed(v.field(1))
+                floor = np.full(len(ids), -np.inf)
+                if k:
+                    own = _Best(ids, x, floor, k, least)
+                    own.meet(ids, x)
+                    floor = own.score[:, -1]
+                cells = [pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in (ids, x, floor)]
+                packed = pa.StructArray.from_arrays(cells, names=["ids", "x", "floor"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, 1) for k in range(len(keys))] + [packed], names=[*keys, "rows"])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.select(*keys).schema)
+    return blocks.select(*keys, "rows").mapInArrow(run, f"{kind}, rows struct<ids:binary,x:binary,floor:binary>")
 
 
 def _normed(column) -> np.ndarray:
@@ -80,8 +106,18 @@ def _normed(column) -> np.ndarray:
     return x / np.maximum(1e-12, np.linalg.norm(x, axis=1, keepdims=True)) if len(x) else x
 
 
-#: Rows of a block that are compared with another block at once.
-TILE = 512
+#: Rows of a block, and of another, that are compared at once: their products fit into a core's cache.
+TILE, WIDE = 256, 2048
+
+
+def _places(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix in which few places are true: eight are looked at as one number."""
+    flat = flags.ravel()
+    if flat.size % 8:
+        return np.nonzero(flags)
+    some = np.flatnonzero(flat.view(np.uint64))
+    word, bit = np.nonzero(flat.reshape(-1, 8)[some])
+    return np.divmod(some[word] * 8 + bit, flags.shape[1])
 
 
 class _Best:
@@ -90,23 +126,29 @@ class _Best:
     A product in single precision, with its error allowed for, tells which pairs may be among a row's k best; those are scored in double precision.
     """
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, least: float):
-        self.ids, self.x, self.k, self.least = ids, x, k, least
+    def __init__(self, ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int, least: float):
+        self.ids, self.x, self.floor, self.k, self.least = ids, x, np.maximum(floor, least), k, least
         self.single = x.astype(np.float32)
         self.error = 1e-9 + (x.shape[1] + 8) * 1.2e-7
         self.score, self.neighbour = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
 
     def meet(self, b: np.ndarray, y: np.ndarray) -> None:
-        other = y.astype(np.float32).T
+        for to in range(0, len(b), WIDE):
+            self._meet(b[to : to + WIDE], y[to : to + WIDE])
+
+    def _meet(self, b: np.ndarray, y: np.ndarray) -> None:
+        other = np.ascontiguousarray(y.astype(np.float32).T)
         for at in range(0, len(self.ids), TILE):
             ids, s = self.ids[at : at + TILE], self.single[at : at + TILE] @ other
-            floor = np.maximum(self.score[at : at + TILE, -1], self.least)
+            floor = np.maximum(self.score[at : at + TILE, -1], self.floor[at : at + TILE])
             may = s >= (floor - self.error).astype(np.float32)[:, None]
             if np.count_nonzero(may) > 16 * self.k * len(ids) and s.shape[1] > self.k:  # many: only those near each row's k-th
                 s[ids[:, None] == b[None, :]] = -2
                 kth = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k]
                 may &= s >= (kth - 2 * self.error).astype(np.float32)[:, None]
-            r, c = np.nonzero(may)
+            r, c = _places(may)
+            if not len(r):
+                continue
             score = np.round(np.einsum("ij,ij->i", self.x[at + r], y[c]), 9)
             fit = (ids[r] != b[c]) & (score >= self.least)
             if fit.any():
@@ -130,7 +172,7 @@ class _Best:
 
 
 def _best_of_blocks(spread: DataFrame, k: int, least: float) -> DataFrame:
-    """id, neighbour, score: of blocks (key, rows) against blocks (rows2) of (id, vector) each row's k best, merged over all blocks it met. A block's lists are kept while rows of its key follow one another."""
+    """id, neighbour, score: of blocks (key, rows) against blocks (rows2) of _packed each row's k best, merged over all blocks it met. A block's lists are kept while rows of its key follow one another."""
 
     def run(batches):
         key, best = None, None
@@ -140,7 +182,7 @@ def _best_of_blocks(spread: DataFrame, k: int, least: float) -> DataFrame:
                     if best is not None:
                         yield best.batch()
                     key, best = at, _Best(*_matrix(left), k, least)
-                best.meet(*_matrix(right))
+                best.meet(*_matrix(right)[:2])
         if best is not None:
             yield best.batch()
 
@@ -156,7 +198,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35, rows
     """
     n = max(1, -(-vectors.count() // rows_per_block))
     block = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    packed = checkpointed(vectors.select("id", "vector", block.alias("key")).repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("id", "vector")).alias("rows")))
+    packed = checkpointed(_packed(vectors.select("id", "vector", block.alias("key")).repartition(n, "key").groupBy("key").agg(F.collect_list(F.struct("id", "vector")).alias("rows")), k, least))
     return _best_of_blocks(packed.crossJoin(packed.select(F.col("rows").alias("rows2"))), k, least)
 
 
@@ -237,7 +279,7 @@ def approximate_neighbours(vectors: DataFrame, k: int = 3, least: float = 0.35,
         """Blocks of about rows_per_block rows of each list."""
         parts = rows.groupBy("list").agg(F.ceil(F.count("*") / rows_per_block).cast("int").alias("parts"))  # at most MOST_LISTS rows
         dealt = rows.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-        return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+        return _packed(dealt.groupBy("list", "part").agg(F.collect_list(F.struct("id", "vector")).alias("rows")))
 
     asking = blocks(asked).withColumn("key", F.struct("list", "part"))
     return _best_of_blocks(asking.join(blocks(home).select("list", F.col("rows").alias("rows2")), "list"), k, least)

@@ -110,3 +110,17 @@ def test_an_index_shuffles_no_words(spark, monkeypatch, tmp_path):
     assert "Exchange" not in written.split("Generate", 1)[0]  # what is above the words
     (size,) = spark.read.parquet(str(tmp_path / "i/fields")).collect()
     assert (size.words, size.units, size.docs) == (4, 1, 3)
+
+
+def test_rows_look_no_lower_than_their_own_block(spark):
+    """A block carries its rows' floors, so that blocks that meet it need not find its neighbours anew."""
+    x = np.random.default_rng(8).normal(size=(90, 6))
+    rows = vectors(spark, x).withColumn("key", F.col("id") % 2).groupBy("key").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+    for r in graph._packed(rows, 3, 0.35).collect():
+        ids, floor = np.frombuffer(r["rows"].ids, np.int64), np.frombuffer(r["rows"].floor, np.float64)
+        own = brute(x[ids])
+        for i in range(len(ids)):
+            best = sorted((s for (a, _), s in own.items() if a == i), reverse=True)
+            assert floor[i] == (best[2] if len(best) > 2 else -np.inf)
+    flags = np.random.default_rng(9).random((48, 64)) < 0.02
+    assert all((a == b).all() for a, b in zip(graph._places(flags), np.nonzero(flags)))
