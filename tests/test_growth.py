@@ -124,3 +124,14 @@ def test_rows_look_no_lower_than_their_own_block(spark):
             assert floor[i] == (best[2] if len(best) > 2 else -np.inf)
     flags = np.random.default_rng(9).random((48, 64)) < 0.02
     assert all((a == b).all() for a, b in zip(graph._places(flags), np.nonzero(flags)))
+
+
+def test_vocabulary_is_that_of_all_sums_without_shuffling_rare_terms(spark, monkeypatch):
+    rows = [(d, f"w{t % (7 + d % 50)}", 1 + (d * t) % 3) for d in range(300) for t in range(40)] + [(d, f"rare{d}", 1) for d in range(300)]
+    tf = spark.createDataFrame(rows, "key long, term string, tf long").groupBy("key", "term").agg(F.sum("tf").alias("tf"))
+    sums = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).collect()
+    for features in (5, 20, 10_000):
+        wanted = sorted((r for r in sums if r.df <= 0.8 * 300), key=lambda r: (-r.total, r.term))[:features]
+        found = topics._commonest(tf, 300, 0.8, features)
+        assert [(r.term, r.df, r.total) for r in found.collect()] == [(r.term, r.df, r.total) for r in wanted]
+        assert features == 5 or ("bucket" in plan(found)) == (features == 20)
