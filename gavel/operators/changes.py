@@ -5,6 +5,8 @@ Each works on a versioned table (gavel.plans.tables.Versioned): a batch is appli
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,34 +75,63 @@ def replace_items(items: Versioned, new: DataFrame, processed: DataFrame, batch:
     return items.apply(batch, lambda table: titles.replaced_items(table, new, processed)[0])
 
 
-def _texts(sink: Versioned) -> Versioned:
-    return Versioned(sink.spark, f"{sink.folder}/_texts")
+class _Appended(Versioned):
+    """A table each of whose snapshots has only new rows, after the last snapshot of another one, if that has any."""
+
+    def __init__(self, before: Versioned, folder: str):
+        super().__init__(before.spark, folder)
+        self.before = before
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        parts = [self.before.read()] if self.before.batches() else []
+        parts += [super(_Appended, self).read(number) for number in range(len(self.batches()))]
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
 
+def _texts(sink: Versioned) -> _Appended:
+    """A sink's contents (_content, content); sinks written before have theirs in _texts, whose last snapshot has all."""
+    return _Appended(Versioned(sink.spark, f"{sink.folder}/_texts"), f"{sink.folder}/_contents")
 
-def write_search_documents(sink: Versioned, documents: DataFrame, batch: str, gone: DataFrame | None = None) -> bool:
+
+def write_search_documents(sink: Versioned, documents: DataFrame, batch: str, gone: DataFrame | None = None, contents: DataFrame | None = None) -> bool:
     """Put documents in place of those of the same id, drop those of gone (id); written by result_type. False if the batch was applied before.
 
     Many documents share a catalog's content, so contents are kept once each, by their hash, beside the rows: a batch moves and rewrites no
-    content for each document. They are written first, so a snapshot's contents are always there; those that no row names any more stay.
+    content for each document, and none that is kept already. They are written first, so a snapshot's contents are always there; those that no row names any more stay.
+    documents have content, or _content, its SHA-256, with the texts they name in contents (_content, content).
     """
-    key = F.sha2("content", 256).alias("_content")
-
-    def texts(table: DataFrame | None) -> DataFrame:
-        new = documents.filter("content IS NOT NULL").select(key, "content").distinct()
-        return new if table is None else table.unionByName(new).distinct()
+    if contents is None and "content" in documents.columns:
+        key = F.sha2("content", 256).alias("_content")
+        contents = documents.select(key, "content")
+        documents = documents.select(*[key if c == "content" else c for c in documents.columns])
 
     def change(table: DataFrame | None) -> DataFrame:
-        merged = upserted(table, documents.select(*[key if c == "content" else c for c in documents.columns]), "id")
-        return merged.join(gone.select("id"), "id", "left_anti") if gone is not None else merged
+        ids = gone.select("id") if gone is not None else None
+        rows = documents.join(ids, "id", "left_anti") if gone is not None else documents
+        if table is None:
+            return rows
+        # rows that go are left out before the others are added, so a table's rows are shuffled once
+        out = documents.select("id").unionByName(ids) if gone is not None else documents.select("id")
+        return table.join(out, "id", "left_anti").unionByName(rows.select(*table.columns))
 
     if batch in sink.batches():
         return False
-    if "content" in documents.columns:
-        _texts(sink).apply(batch, texts)
+    if contents is not None:
+        store, new = _texts(sink), contents.filter("_content IS NOT NULL")
+        kept = store.read()
+        if kept is not None:
+            # mostly all are kept already, and then no text is moved to see it
+            keys = new.select("_content").join(kept.select("_content"), "_content", "left_anti").distinct()
+            new = new.limit(0) if keys.isEmpty() else new.join(keys, "_content", "left_semi")
+        store.apply(batch, lambda _: new.dropDuplicates(["_content"]))
     return sink.apply(batch, change, partition_by=("result_type",))
 
 
-def search_documents(sink: Versioned) -> DataFrame:
-    """The documents of a sink with their contents."""
+def search_documents(sink: Versioned, value=lambda content: content) -> DataFrame:
+    """The documents of a sink with their contents; value: what is made of a content, once for all its documents."""
     rows = sink.read()
-    return rows.join(_texts(sink).read(), "_content", "left").select(*["content" if c == "_content" else c for c in rows.columns])
+    columns = ["content" if c == "_content" else c for c in rows.columns]
+    texts = _texts(sink).read().select("_content", value(F.col("content")).alias("content"))
+    # rows without a content meet none: in a join they would all come to one task
+    bare = rows.filter("_content IS NULL").withColumn("content", F.lit(None).cast(texts.schema["content"].dataType))
+    return rows.filter("_content IS NOT NULL").join(texts, "_content", "left").select(*columns).unionByName(bare.select(*columns))
