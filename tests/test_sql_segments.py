@@ -1,4 +1,4 @@
-"""Candidates of texts on which the rules once differed from the twins' SQL: blanks before a numbered line, paragraphs in a row, spaces in lines that end an agenda, marks in a text."""
+"""Candidates are as in the twins' SQL: blanks before a numbered line, paragraphs in a row and marks in a text (these two once differed), spaces in lines that end an agenda."""
 
 import duckdb
 import pytest
